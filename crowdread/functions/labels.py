@@ -62,6 +62,11 @@ def rounded(scores: Column, places: int = 4) -> Column:
     )
 
 
+def score_of(scores: Column, label: str) -> Column:
+    """The score of a label, NULL where it is not in the array."""
+    return F.get(F.filter(scores, lambda s: s["label"] == label), F.lit(0))["score"]
+
+
 def dominant_sentiment(scores: Column) -> Column:
     """sentiment and the three scores from an array of (label, score)."""
     lowered = F.transform(
@@ -69,9 +74,8 @@ def dominant_sentiment(scores: Column) -> Column:
         lambda s: F.struct(F.lower(s["label"]).alias("label"), s["score"].alias("score")),
     )
 
-    def named(*names: str) -> Column:
-        found = [F.get(F.filter(lowered, lambda s, n=n: s["label"] == n), F.lit(0))["score"] for n in names]
-        return F.coalesce(*found, F.lit(0.0))
+    def named(full: str, short: str) -> Column:
+        return F.coalesce(score_of(lowered, full), score_of(lowered, short), F.lit(0.0))
 
     return F.struct(
         normalise_label(_best(lowered, lambda s: s["label"])).alias("sentiment"),
@@ -121,9 +125,7 @@ def group_emotions(scores: Column) -> Column:
 
 def group_score(groups: Column, emotion: str) -> Column:
     """The score of one display emotion, 0.0 where it did not occur."""
-    return F.coalesce(
-        F.get(F.filter(groups, lambda s: s["label"] == emotion), F.lit(0))["score"], F.lit(0.0)
-    )
+    return F.coalesce(score_of(groups, emotion), F.lit(0.0))
 
 
 def group_columns(groups: Column) -> list[Column]:

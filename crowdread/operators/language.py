@@ -19,16 +19,17 @@ def hinglish_flag(terms: Terms) -> Column:
     return terms.any("HINGLISH_MARKERS")
 
 
+def known_words(words: Column, known: Sequence[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+
 def detect_language(df: DataFrame, text: str, terms: Terms | None = None) -> DataFrame:
     """``language``: hinglish by its markers, else the language with most function words."""
     df, terms = lowered(df, text, terms)
     df = df.withColumn("_hinglish", hinglish_flag(terms))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
     df = df.withColumn("_words", F.when(~F.col("_hinglish"), words))
-    hits = {
-        lang: F.size(F.filter("_words", lambda w, known=known: w.isin(*known)))
-        for lang, known in LANGUAGE_WORDS.items()
-    }
+    hits = {lang: known_words(F.col("_words"), ws) for lang, ws in LANGUAGE_WORDS.items()}
     hits |= {lang: F.regexp_count(F.col(text), F.lit(p)) for lang, p in SCRIPTS.items()}
     ranked = [
         F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(lang).alias("lang"))

@@ -10,6 +10,7 @@ from crowdread.functions.text import working_text
 from crowdread.operators import cleaning, labelling, language, reports, segments, topics
 from crowdread.operators.ensemble import ensemble_emotion
 from crowdread.schema import EMOTIONS, INTENTS, SCORES, SEGMENTS, SENTIMENTS
+from crowdread.session import staged
 
 # Score columns a model may have filled; where a comment has none the default scorer speaks.
 MODEL_COLUMNS = {
@@ -99,8 +100,11 @@ def video_report(
 
 
 def full_report(comments: DataFrame, videos: DataFrame, topic_count: int = 12) -> DataFrame:
-    """The report with topics clustered over all comments."""
-    analysed = analyse_comments(comments)
+    """The report with topics clustered over all comments.
+
+    Clustering reads the comments many times, so the analysed rows are written once.
+    """
+    analysed = staged(analyse_comments(comments), "analysed")
     clustered = topics.assign_topics(
         analysed.select("video_id", "comment_id", "working_text"), topic_count, text="working_text"
     )
