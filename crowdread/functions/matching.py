@@ -56,25 +56,26 @@ class TextTerms:
 
 
 class ScannedTerms:
-    """Term tests on a column made by ``scan_terms``."""
+    """Term tests on text number ``n`` of a column made by ``scan_terms``."""
 
-    def __init__(self, scan: Column):
-        self.scan = scan
+    def __init__(self, scan: Column, n: int = 0):
+        self.scan, self.prefix = scan, f"t{n}_"
 
     def any(self, name: str) -> Column:
         bit = F.lit(1 << SCANNED.index(name)).cast("bigint")
-        return self.scan["lists"].bitwiseAND(bit) != 0
+        return self.scan[self.prefix + "lists"].bitwiseAND(bit) != 0
 
     def count(self, name: str) -> Column:
-        return self.scan[name.lower()]
+        return self.scan[self.prefix + name.lower()]
 
 
-def scan_terms(lowered: Column) -> Column:
+def scan_terms(*lowered: Column) -> Column:
     """Finds the terms of all lists in one pass over each lower-cased text.
 
-    The result holds the bits of the lists with a term in the text, and the number of
-    different terms for the counted lists. The term tables travel with the function, so
-    executors need no copy of this package.
+    Fields ``t0_...``, ``t1_...`` hold, for each text given, the bits of the lists with a term
+    in it and the number of different terms for the counted lists. Texts that are equal, as raw
+    and clean text mostly are, are searched once. The term tables travel with the function,
+    so executors need no copy of this package.
     """
     names = [name.lower() for name in COUNTED]
     bits: dict[str, int] = {}
@@ -87,8 +88,9 @@ def scan_terms(lowered: Column) -> Column:
             counted[t] = (*counted.get(t, ()), i)
     found = {t: (bits.get(t, 0), counted.get(t, ())) for t in (*bits, *counted)}
     none = (0,) * (1 + len(names))
+    columns = [f"t{n}_{field}" for n in range(len(lowered)) for field in ("lists", *names)]
 
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         import ahocorasick
         import pandas
 
@@ -108,9 +110,16 @@ def scan_terms(lowered: Column) -> Column:
                     counts[i] += 1
             return (lists, *counts)
 
-        for texts in batches:
-            yield pandas.DataFrame([one(t) for t in texts], columns=["lists", *names])
+        def row(texts):
+            first = one(texts[0])
+            others = [first if t == texts[0] else one(t) for t in texts[1:]]
+            return sum(others, first)
 
-    fields = [T.StructField("lists", T.LongType())]
-    fields += [T.StructField(name, T.IntegerType()) for name in names]
-    return F.pandas_udf(scan, T.StructType(fields))(lowered)
+        for batch in batches:
+            texts = batch if isinstance(batch, tuple) else (batch,)
+            yield pandas.DataFrame([row(t) for t in zip(*texts)], columns=columns)
+
+    fields = [
+        T.StructField(c, T.LongType() if c.endswith("_lists") else T.IntegerType()) for c in columns
+    ]
+    return F.pandas_udf(scan, T.StructType(fields))(*lowered)

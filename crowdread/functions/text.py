@@ -10,16 +10,18 @@ from pyspark.sql import Column, functions as F
 from crowdread.functions import lexicon
 
 # White space as Unicode counts it, which is more than Java's ``\s`` or a plain ``trim``.
-WHITE = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_CODES = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
+WHITE_CHARS = "".join(map(chr, WHITE_CODES))
+WHITE = "".join(rf"\x{{{code:x}}}" for code in WHITE_CODES)
 EMOJI_RANGES = r"[\x{2600}-\x{27bf}\x{2b50}\x{2b55}\x{1f300}-\x{1faff}]"
 
 
 def strip(text: Column) -> Column:
     """The text without white space at both ends."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def has_more_words(text: Column, n: int) -> Column:
@@ -38,13 +40,22 @@ def emoji_to_words(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Links dropped, white space collapsed and trimmed, emoji named, in that order."""
-    unlinked = F.regexp_replace(text, f"http[^{WHITE}]+|www[^{WHITE}]+", "")
-    return emoji_to_words(F.trim(F.regexp_replace(unlinked, f"[{WHITE}]+", " ")))
+    """Links dropped, white space collapsed and trimmed, emoji named, in that order.
+
+    Regular expressions are the costly part, so they only run where there is something to
+    find.
+    """
+    linked = text.contains("http") | text.contains("www")
+    link = f"http[^{WHITE}]+|www[^{WHITE}]+"
+    unlinked = F.when(linked, F.regexp_replace(text, link, "")).otherwise(text)
+    blanks = F.translate(unlinked, WHITE_CHARS, " " * len(WHITE_CHARS))
+    single = F.when(blanks.contains("  "), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks)
+    return emoji_to_words(F.trim(single))
 
 
 def has_emoji(text: Column) -> Column:
-    return text.rlike(EMOJI_RANGES)
+    """Plain ASCII text, told by its length in bytes, is not searched."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(EMOJI_RANGES)
 
 
 def working_text(clean: Column, raw: Column) -> Column:

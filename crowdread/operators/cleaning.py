@@ -25,7 +25,7 @@ def dedup_comments(comments: DataFrame) -> DataFrame:
     Rows are grouped by a 256-bit digest, so that no long text is compared in the sort, and
     all but the first copy per map task are dropped before the shuffle.
     """
-    key = strip(F.lower("text"))
+    key = F.lower(strip(F.col("text")))
     keyed = comments.withColumn("_key", key).filter(F.col("_key") != "")
     keyed = keyed.withColumn("_key", F.sha2("_key", 256))
     first = top_per_group(keyed, ["video_id", "_key"], [F.col("pos")], 1, rank="_rank")

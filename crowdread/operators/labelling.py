@@ -16,6 +16,7 @@ from crowdread.functions.labels import Terms
 from crowdread.functions.text import model_input
 from crowdread.operators.terms import lowered
 from crowdread.schema import LABEL_DEFAULTS, SCORES
+from crowdread.session import staged
 
 BATCH = 32
 MULTILINGUAL_BATCH = 16
@@ -113,24 +114,32 @@ def with_defaults(comments: DataFrame) -> DataFrame:
     return comments.withColumns(filled)
 
 
-def toxicity_model(labelled: DataFrame, features: int = 1 << 18) -> PipelineModel:
+def toxicity_model(labelled: DataFrame, features: int = 1 << 16) -> PipelineModel:
     """Text classifier trained on ``text`` and ``toxic``; rare positives weigh more.
 
-    The two classes get equal total weight.
+    The two classes get equal total weight. Term counts are written once for all passes.
     """
     total, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     share = min(max((toxic or 0) / max(total, 1), 1e-6), 1 - 1e-6)
     weight = F.when(F.col("toxic") == 1, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share)))
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_features", minDocFreq=2),
-        LogisticRegression(
-            featuresCol="_features", labelCol="toxic", weightCol="_weight", regParam=0.1,
-            probabilityCol="_probability", rawPredictionCol="_margin", predictionCol="_guess",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(labelled.withColumn("_weight", weight))
+    counter = Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
+            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
+        ]
+    ).fit(labelled)
+    counted = counter.transform(labelled.withColumn("_weight", weight))
+    counted = staged(counted.select("toxic", "_weight", "_counts"), "toxicity-counts")
+    learner = Pipeline(
+        stages=[
+            IDF(inputCol="_counts", outputCol="_features", minDocFreq=2),
+            LogisticRegression(
+                featuresCol="_features", labelCol="toxic", weightCol="_weight", regParam=0.1, tol=1e-4,
+                probabilityCol="_probability", rawPredictionCol="_margin", predictionCol="_guess",
+            ),
+        ]
+    ).fit(counted)
+    return PipelineModel(stages=[*counter.stages, *learner.stages])
 
 
 def score_toxicity(df: DataFrame, model: PipelineModel) -> DataFrame:

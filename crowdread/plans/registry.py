@@ -14,7 +14,7 @@ from crowdread.operators.terms import lowered, scanned
 from crowdread.plans import fixtures, video_report
 from crowdread.plans.fixtures import pick, table
 from crowdread.schema import EMOTIONS, INTENTS, SEGMENTS, SENTIMENTS
-from crowdread.session import shared_dir
+from crowdread.session import shared_dir, staged
 from crowdread.sources import dumps, exports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -618,7 +618,8 @@ def p4_report_facts(spark, sf):
 
 @query
 def p5_content_gap_evidence(spark, sf):
-    return batches.content_gap_evidence(analysed(spark, sf))
+    slim = analysed(spark, sf).select("video_id", "pos", "intent", "text")
+    return batches.content_gap_evidence(staged(slim, "browse"))
 
 
 @query
@@ -626,7 +627,7 @@ def p6_compare_videos(spark, sf):
     v = fixtures.videos(spark, sf)
     following = v.select(F.col("video_id").alias("video_b"), (F.col("vn") - 1).alias("vn"))
     pairs = v.join(following, "vn").select(F.col("video_id").alias("video_a"), "video_b")
-    return batches.compare_videos(report(spark, sf), pairs)
+    return batches.compare_videos(staged(report(spark, sf), "reports"), pairs)
 
 
 # Audience segments, quality.
@@ -685,10 +686,12 @@ def q1_quality_score(spark, sf):
 
 
 def like_input(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.reply_counts(analysed(spark, sf)).select(
-        "video_id", "comment_id", "text", "positive_score", "negative_score", "neutral_score",
-        "intent", "is_sarcastic", "is_toxic", "like_count", "reply_count",
+    """Training and prediction both read the rows, so they are written once."""
+    rows = analysed(spark, sf).select(
+        "video_id", "comment_id", "parent_id", "text", "positive_score", "negative_score",
+        "neutral_score", "intent", "is_sarcastic", "is_toxic", "like_count",
     )
+    return cleaning.reply_counts(staged(rows, "analysed"))
 
 
 @query
@@ -854,6 +857,7 @@ def r13_page_comments(spark, sf):
     slim = analysed(spark, sf).select(
         "video_id", "comment_id", "like_count", "sentiment", "intent", "segment_label"
     )
+    slim = staged(slim, "browse")
     return reports.page_comments(reports.filter_comments(slim, intent="question"))
 
 

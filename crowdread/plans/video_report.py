@@ -37,13 +37,8 @@ def analyse_comments(
     missing = {c: F.lit(None).cast(t) for c, t in MODEL_COLUMNS.items() if c not in comments.columns}
     df = cleaning.parse_comments(comments.withColumns(missing) if missing else comments)
     df = df.withColumn("working_text", working_text(F.col("clean_text"), F.col("text")))
-    df = df.withColumns(
-        {
-            "_raw": scan_terms(F.lower("text")),
-            "_work": scan_terms(F.lower("working_text")),
-        }
-    )
-    raw, work = ScannedTerms(F.col("_raw")), ScannedTerms(F.col("_work"))
+    df = df.withColumn("_scan", scan_terms(F.lower("text"), F.lower("working_text")))
+    raw, work = ScannedTerms(F.col("_scan")), ScannedTerms(F.col("_scan"), 1)
     df = language.detect_language(df, "working_text", work)
     df = df.withColumn("sentiment_scores", F.coalesce("sentiment_scores", lexicon_sentiment(work)))
     df = labelling.label_sentiment(df)
@@ -54,7 +49,7 @@ def analyse_comments(
     df = labelling.with_defaults(df.withColumn("dominant_emotion", F.col("emotion_model_rule")))
     df = ensemble_emotion(df, overrides, terms=raw)
     df = segments.quality_scores(segments.segment_audience(df, raw))
-    return df.drop("_raw", "_work", "sentiment_scores", "emotion_scores", "toxic_label", "toxic_raw",
+    return df.drop("_scan", "sentiment_scores", "emotion_scores", "toxic_label", "toxic_raw",
                    "irony_label", "irony_raw")
 
 
