@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from crowdread.functions import lexicon
@@ -96,11 +98,9 @@ def normalise_label(label: Column) -> Column:
 
 def emotion_group(fine: Column) -> Column:
     """One of 28 fine emotion labels to its display emotion; neutral if unknown."""
-    chain = F
-    for group, members in lexicon.FINE_EMOTIONS.items():
-        if group != "neutral":
-            chain = chain.when(fine.isin(*members), F.lit(group))
-    return chain.otherwise(F.lit("neutral"))
+    groups = {label: group for group, members in lexicon.FINE_EMOTIONS.items() for label in members}
+    table = F.from_json(F.lit(json.dumps(groups)), "map<string, string>")
+    return F.coalesce(F.try_element_at(table, fine), F.lit("neutral"))
 
 
 def group_emotions(scores: Column) -> Column:
@@ -205,6 +205,7 @@ def classify_intent(terms: Terms) -> Column:
     return first_match(rules, terms, "general")
 
 
-def title_category(title: Column) -> Column:
+def title_category(terms: Terms) -> Column:
+    """Category of a video by the terms of its title."""
     rules = [(name, label) for label, name in lexicon.TITLE_CATEGORIES.items()]
-    return first_match(rules, TextTerms(F.lower(title)), "General")
+    return first_match(rules, terms, "General")

@@ -12,9 +12,7 @@ different terms of a list occur. Two matchers answer them behind one interface:
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -40,33 +38,36 @@ def minimal_terms(terms: tuple[str, ...]) -> list[str]:
     return [t for t in terms if not any(o != t and o in t for o in terms)]
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class TextTerms:
-    """Term tests on a column of lower-cased text."""
+    """Term tests on a column of lower-cased text, given by name."""
 
-    def __init__(self, lowered: Column):
-        self.text = lowered
+    def __init__(self, lowered: str):
+        self.text = f"`{lowered}`"
 
     def any(self, name: str) -> Column:
-        tests = [self.text.contains(t) for t in minimal_terms(lexicon.terms(name))]
-        return F.coalesce(functools.reduce(or_, tests), F.lit(False))
+        tests = [f"contains({self.text}, {quoted(t)})" for t in minimal_terms(lexicon.terms(name))]
+        return F.expr(f"coalesce({' OR '.join(tests)}, false)")
 
     def count(self, name: str) -> Column:
-        hits = [self.text.contains(t).cast("int") for t in lexicon.terms(name)]
-        return F.coalesce(functools.reduce(lambda a, b: a + b, hits), F.lit(0))
+        hits = [f"int(contains({self.text}, {quoted(t)}))" for t in lexicon.terms(name)]
+        return F.expr(f"coalesce({' + '.join(hits)}, 0)")
 
 
 class ScannedTerms:
-    """Term tests on text number ``n`` of a column made by ``scan_terms``."""
+    """Term tests on text number ``n`` of a column made by ``scan_terms``, given by name."""
 
-    def __init__(self, scan: Column, n: int = 0):
-        self.scan, self.prefix = scan, f"t{n}_"
+    def __init__(self, scan: str, n: int = 0):
+        self.prefix = f"`{scan}`.t{n}_"
 
     def any(self, name: str) -> Column:
-        bit = F.lit(1 << SCANNED.index(name)).cast("bigint")
-        return self.scan[self.prefix + "lists"].bitwiseAND(bit) != 0
+        return F.expr(f"({self.prefix}lists & {1 << SCANNED.index(name)}L) != 0")
 
     def count(self, name: str) -> Column:
-        return self.scan[self.prefix + name.lower()]
+        return F.expr(self.prefix + name.lower())
 
 
 def scan_terms(*lowered: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from operator import or_
 
 from pyspark.sql import Column, functions as F
@@ -31,11 +32,14 @@ def has_more_words(text: Column, n: int) -> Column:
 
 def emoji_to_words(text: Column) -> Column:
     """Each known emoji becomes its name with a blank on both sides."""
-    named = F.replace(text, F.lit("️"), F.lit(""))
-    for sign, name in lexicon.EMOJI_NAMES.items():
-        named = F.replace(named, F.lit(sign), F.lit(f" {name} "))
-    for sign, name in lexicon.SKIN_TONES.items():
-        named = F.replace(named, F.lit(f" {sign}"), F.lit(f"_{name} "))
+    names = [("\ufe0f", "")]
+    names += [(sign, f" {name} ") for sign, name in lexicon.EMOJI_NAMES.items()]
+    names += [(f" {sign}", f"_{name} ") for sign, name in lexicon.SKIN_TONES.items()]
+    table = F.from_json(
+        F.lit(json.dumps([{"sign": s, "name": n} for s, n in names])),
+        "array<struct<sign: string, name: string>>",
+    )
+    named = F.aggregate(table, text, lambda t, e: F.replace(t, e["sign"], e["name"]))
     return F.when(has_emoji(text), named).otherwise(text)
 
 

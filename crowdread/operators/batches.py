@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crowdread.operators.grouping import number_rows, top_per_group
 from crowdread.operators.language import mix_text
 from crowdread.schema import EMOTIONS, SENTIMENTS
+from crowdread.session import staged
 
 BATCH = 20
 TEXT_CUT = 200
@@ -45,8 +46,13 @@ def pack_batches(
 
 
 def pack_conflicts(df: DataFrame, size: int = BATCH) -> DataFrame:
-    """Batches of the rows whose votes conflict, in the shorter form for tie-breaks."""
-    return pack_batches(df.filter("conflict"), size, TIEBREAK_CUT, language=False)
+    """Batches of the rows whose votes conflict, in the shorter form for tie-breaks.
+
+    Numbering reads the rows twice, so the votes are written once.
+    """
+    slim = df.select("video_id", "pos", "conflict", F.substring("text", 1, TIEBREAK_CUT).alias("text"))
+    conflicts = staged(slim, "votes").filter("conflict")
+    return pack_batches(conflicts, size, TIEBREAK_CUT, language=False)
 
 
 def reply_array(reply: Column) -> Column:

@@ -12,7 +12,7 @@ def lowered(df: DataFrame, text: str, terms: Terms | None = None) -> tuple[DataF
     """The given matcher, or one that searches the lower-cased text term by term."""
     if terms is not None:
         return df, terms
-    return df.withColumn(f"_{text}_low", F.lower(text)), TextTerms(F.col(f"_{text}_low"))
+    return df.withColumn(f"_{text}_low", F.lower(text)), TextTerms(f"_{text}_low")
 
 
 def scanned(df: DataFrame, text: str, terms: Terms | None = None) -> tuple[DataFrame, Terms]:
@@ -20,7 +20,7 @@ def scanned(df: DataFrame, text: str, terms: Terms | None = None) -> tuple[DataF
     if terms is not None:
         return df, terms
     scan = f"_{text}_scan"
-    return df.withColumn(scan, scan_terms(F.lower(text))), ScannedTerms(F.col(scan))
+    return df.withColumn(scan, scan_terms(F.lower(text))), ScannedTerms(scan)
 
 
 def tidy(df: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.get(F.split(F.lit("|".join(values)), r"\|"), index.cast("int"))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def analyse_comments(
     df = cleaning.parse_comments(comments.withColumns(missing) if missing else comments)
     df = df.withColumn("working_text", working_text(F.col("clean_text"), F.col("text")))
     df = df.withColumn("_scan", scan_terms(F.lower("text"), F.lower("working_text")))
-    raw, work = ScannedTerms(F.col("_scan")), ScannedTerms(F.col("_scan"), 1)
+    raw, work = ScannedTerms("_scan"), ScannedTerms("_scan", 1)
     df = language.detect_language(df, "working_text", work)
     df = df.withColumn("sentiment_scores", F.coalesce("sentiment_scores", lexicon_sentiment(work)))
     df = labelling.label_sentiment(df)
