@@ -74,17 +74,24 @@ def segment_audience(df: DataFrame, terms: Terms | None = None) -> DataFrame:
     return segmented.drop("_helps", "_blames", "_asks", "_text_scan")
 
 
+def summary_input(df: DataFrame, *labels: str) -> DataFrame:
+    """What per-video aggregates need, with texts cut before the rows are sorted by video."""
+    return df.select(
+        "video_id", "comment_id", "segment", likes().alias("like_count"),
+        F.substring("text", 1, TOP_COMMENT_CUT).alias("text"), *labels,
+    )
+
+
 def segment_totals() -> list[Column]:
     """Aggregates behind the segment summary: count, mean likes and top text per segment."""
     columns = []
     for seg in SEGMENTS:
         here = F.col("segment") == seg
-        best = F.struct(likes(), -F.col("comment_id"))
-        text = F.substring("text", 1, TOP_COMMENT_CUT)
+        best = F.struct("like_count", -F.col("comment_id"))
         columns += [
             F.count_if(here).alias(f"_n{seg}"),
-            F.avg(F.when(here, likes())).alias(f"_likes{seg}"),
-            F.max_by(F.when(here, text), F.when(here, best)).alias(f"_top{seg}"),
+            F.avg(F.when(here, F.col("like_count"))).alias(f"_likes{seg}"),
+            F.max_by("text", F.when(here, best)).alias(f"_top{seg}"),
         ]
     return columns
 
@@ -108,7 +115,7 @@ def segment_entries() -> Column:
 
 def segment_summary(df: DataFrame) -> DataFrame:
     """Four rows per video."""
-    totals = df.groupBy("video_id").agg(*segment_totals())
+    totals = summary_input(df).groupBy("video_id").agg(*segment_totals())
     return totals.select("video_id", F.inline(segment_entries()))
 
 

@@ -74,7 +74,9 @@ def video_report(
 
     ``topics_of`` holds ``video_id`` and ``topics``, see ``topics_per_video``.
     """
-    counted = analysed.groupBy("video_id").agg(*report_columns())
+    labels = ("sentiment", "dominant_emotion", "intent", "is_toxic", "is_sarcastic")
+    slim = segments.summary_input(analysed, *labels)
+    counted = slim.groupBy("video_id").agg(*report_columns())
     summary = F.map_from_entries(
         F.transform(segments.segment_entries(), lambda s: F.struct(s["segment_label"], s))
     )

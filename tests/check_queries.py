@@ -39,9 +39,16 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def compare(spark, con, name: str, sf: str) -> tuple[str, float]:
     start = time.time()
     df = contract.queries()[name](spark, sf)
+    plan = plan_of(df)
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "DIFFERENT from the rule that no rows are crossed", 0.0
     got_columns, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     seconds = time.time() - start
     sql = contract.oracle_sql().get(name)
