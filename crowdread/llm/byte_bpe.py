@@ -194,16 +194,10 @@ class Encoder:
         at = np.cumsum(sizes) - sizes
         flat = np.zeros(int(sizes.sum()), np.int32)
         flat[at[key >= 0]] = self.ids[key[key >= 0]]
-        flat[expand(at[missing], sizes[missing])] = np.frombuffer(b"".join(found), np.int32)
+        flat[bt.expand(at[missing], sizes[missing])] = np.frombuffer(b"".join(found), np.int32)
         each = sizes[inverse]
         bounds = np.concatenate([[0], np.cumsum(each)])
-        return flat[expand(at[inverse], each)], bounds[rows]
-
-
-def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions start, start + 1, ... of every segment, one after another."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+        return flat[bt.expand(at[inverse], each)], bounds[rows]
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +217,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id
             ids, bounds = encoder.encode(*bt.text_bytes(batch.column(text)))
             keys = key_of[ids]
             sizes = table.ends[keys] - table.starts[keys]
-            plain = table.data[expand(table.starts[keys], sizes)]
+            plain = table.data[bt.expand(table.starts[keys], sizes)]
             ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
             decoded = pa.Array.from_buffers(
                 pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(plain.tobytes())]

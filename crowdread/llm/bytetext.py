@@ -127,20 +127,41 @@ def sliding(op, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(values: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
-    """Marks the values that are least in some window of ``window`` values of one row.
+def anchors(values: np.ndarray, window: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are least in some valid window of ``window`` values, and the least value of each window.
 
     Which values of a window are marked depends on that window alone, so equal windows have
-    equal marks. All equal least values are marked.
+    equal marks. All equal least values are marked; ``valid`` says which windows count.
     """
-    marked = np.zeros(len(values), bool)
     if len(values) < window:
-        return marked
+        return np.zeros(len(values), bool), np.zeros(0, np.uint64)
     least = sliding(np.minimum, values, window)
-    least[~inside_rows(bounds, window, len(least))] = 0
+    least = np.where(valid, least, np.uint64(0))
     pad = np.zeros(window - 1, np.uint64)
     best = sliding(np.maximum, np.concatenate([pad, least, pad]), window)
-    return (best == values) & (best > 0)
+    return (best == values) & (best > 0), least
+
+
+def group_firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group begins in arrays sorted by these keys."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every segment, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def runs(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and lengths of the runs of consecutive values of equal keys (sorted by key and value)."""
+    firsts = group_firsts(keys, values - np.arange(len(values)))
+    return firsts, np.diff(np.append(firsts, len(values)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdread.llm import byte_bpe, packing
+from crowdread.llm import byte_bpe, packing, phrase_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrase_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
@@ -32,7 +37,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {}
+WORD_LISTS = r"""words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents)"""
+
+ORACLE: dict[str, str] = {
+    "op8_phrase_dedup": f"""
+        WITH {WORD_LISTS},
+        windows AS (
+            SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS phrase
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)),
+        firsts AS (SELECT phrase, min(doc_id) AS first_doc FROM windows GROUP BY phrase),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i
+            FROM windows JOIN firsts USING (phrase) WHERE first_doc < doc_id),
+        single AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+            FROM single ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)""",
+}
