@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from crowdread.llm import bytetext as bt
 from crowdread.llm.recurring import deal, recurring_anchors, undeal
-from crowdread.llm.staging import staged, text_size
+from crowdread.llm.staging import release, staged, text_size
 
 WINDOW = 13
-GRAM = 4
+GRAM = 7
 BUCKET_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 DIGEST_SEED = 1
+ALPHABET = 509
 
 
 class Phrases:
@@ -53,7 +55,7 @@ class Phrases:
 
 
 def confirm(candidates: DataFrame, buckets: int, window: int, text: str) -> DataFrame:
-    """doc_id, start and length: runs of windows that a document with a smaller id has too."""
+    """doc_id and ``phrases``: runs (start, length) of windows that a document with a smaller id has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, text):
@@ -97,7 +99,10 @@ def confirm(candidates: DataFrame, buckets: int, window: int, text: str) -> Data
     )
     answered = sent.filter("bucket >= 0").select("bucket", "payload").groupBy("bucket")
     known = sent.filter("bucket < 0").select("doc_id", "start", "length")
-    return answered.applyInArrow(answer, "doc_id long, start long, length long").unionByName(known)
+    found = answered.applyInArrow(answer, "doc_id long, start long, length long").unionByName(known)
+    out = staged(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("phrases")), "confirmed")
+    release(sent)
+    return out
 
 
 def run_rows(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,29 +116,30 @@ def locate(shards: DataFrame, window: int, text: str) -> DataFrame:
     """doc_id and ``spans``: the word ranges that are covered by a confirmed phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, text):
+        for batch in bt.slices(batches, text, SHARD_BYTES):
             data, offsets = bt.text_bytes(batch.column(text))
             starts, ends, bounds = bt.word_spans(data, offsets)
-            _, numbers = np.unique(bt.segment_hashes(data, starts, ends), return_inverse=True)
-            numbers = numbers.tolist()
+            words = bt.segment_hashes(data, starts, ends)
+            plain, exact = letters(words), bt.gram_hashes(words, window).tolist()
             ids = batch.column("doc_id").to_pylist()
             # A phrase confirmed for a document is removed there and in all documents with larger ids.
-            since: dict[tuple, int] = {}
+            since: dict[int, int] = {}
+            automaton = ahocorasick.Automaton()
             for row, (key, phrases) in enumerate(zip(ids, batch.column("phrases").to_pylist())):
                 for phrase in phrases:
                     begin = int(bounds[row]) + phrase["start"]
                     for at in range(begin, begin + phrase["length"]):
-                        words = tuple(numbers[at : at + window])
-                        if since.get(words, key) >= key:
-                            since[words] = key
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for words, key in since.items():
-                automaton.add_word(words, key)
+                        known = since.get(exact[at])
+                        if known is None:
+                            automaton.add_word(plain[at : at + window], True)
+                        if known is None or known > key:
+                            since[exact[at]] = key
             automaton.make_automaton()
             spans = []
             for row, key in enumerate(ids):
                 a, b = int(bounds[row]), int(bounds[row + 1])
-                tails = np.array([end for end, least in automaton.iter(tuple(numbers[a:b])) if least <= key], np.int64)
+                heads = (a + end + 1 - window for end, _ in automaton.iter(plain[a:b]))
+                tails = np.array([at - a + window - 1 for at in heads if since.get(exact[at], key + 1) <= key], np.int64)
                 change = np.zeros(b - a + 1, np.int64)
                 np.add.at(change, tails - window + 1, 1)
                 np.add.at(change, tails + 1, -1)
@@ -147,6 +153,14 @@ def locate(shards: DataFrame, window: int, text: str) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
 
 
+def letters(words: np.ndarray) -> str:
+    """Every word as one letter of a small alphabet, so that an automaton's nodes have few children.
+
+    Different words can share a letter, so what the automaton finds is compared by its full hash.
+    """
+    return (words % np.uint64(ALPHABET) + np.uint64(33)).astype("<u2").tobytes().decode("utf-16-le")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """doc_id and ``spans`` (word ranges, end exclusive) of the documents that lose words."""
 
@@ -160,8 +174,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     anchors = recurring_anchors(docs, find, buckets, within=False)
     candidates = staged(docs.join(anchors, "doc_id"), "candidates")
     phrases = confirm(candidates, buckets, window, "text")
-    each = phrases.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("phrases"))
-    return staged(locate(candidates.drop("anchors").join(each, "doc_id"), window, "text"), "spans")
+    spans = staged(locate(candidates.drop("anchors").join(phrases, "doc_id"), window, "text"), "spans")
+    release(anchors, candidates, phrases)
+    return spans
 
 
 def remove_words(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:

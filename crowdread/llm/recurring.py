@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crowdread.llm import bytetext as bt
-from crowdread.llm.staging import staged
+from crowdread.llm.staging import release, staged
 
 MOST_SENT = 1 << 20
 Find = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -96,4 +96,7 @@ def recurring_anchors(docs: DataFrame, find: Find, buckets: int, within: bool, t
     entries = staged(plain.mapInArrow(send, "bucket int, payload binary, doc_id long, anchor long"), "anchors")
     answered = entries.filter("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(answer, "doc_id long, anchor long")
     known = entries.filter("bucket < 0").select("doc_id", "anchor")
-    return answered.unionByName(known).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    out = answered.unionByName(known).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    out = staged(out, "recurring")
+    release(entries)
+    return out
