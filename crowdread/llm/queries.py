@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdread.llm import byte_bpe, packing, phrase_dedup
+from crowdread.llm import byte_bpe, minhash, packing, phrase_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = phrase_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -37,6 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash": op5_minhash,
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
@@ -44,7 +49,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORD_LISTS = r"""words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE: dict[str, str] = {
+    "op5_minhash": f"""
+        WITH RECURSIVE {WORD_LISTS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")},
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+            doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id""",
     "op8_phrase_dedup": f"""
         WITH {WORD_LISTS},
         windows AS (
