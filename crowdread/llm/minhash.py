@@ -8,8 +8,9 @@ document only, which joins groups of copies in linear work; then only documents
 different components are compared. A candidate passes if the union of both sketches shares enough
 values, and is a link if the full sets confirm it.
 
-For a pair at the least similarity, the chance that no list holds it is about 1e-8, and that the sketches
-reject it below 1e-7; no list is cut, and long lists are compared block by block.
+Sets of at most ``KEPT`` shingles are whole in their sketches. For larger sets, the chance that the
+sketches reject a pair at the least similarity is about 1e-6, and that no list holds a pair about 1e-8;
+no list is cut, and long lists are compared block by block.
 
 Empty and null texts have no shingles and no links. A row without doc_id is its own component. Very
 long texts are hashed whole. Repeated rows fall in one class.
@@ -28,9 +29,9 @@ from crowdread.llm import bytetext as bt
 from crowdread.llm.components import components
 from crowdread.llm.staging import release, staged
 
-KEPT = 32
+KEPT = 192
 RANKS = 12
-SHARED = 14
+SHARED = 140
 BLOCK = 1024
 
 
@@ -57,7 +58,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 
 
 def sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """doc_id, n (set size), digest_a and digest_b of the set, and ``least``, its sketch."""
+    """doc_id, n (set size), digest_a and digest_b of the set, ``low``, its least
+    hashes, and ``least``, the upper halves of its KEPT least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, text):
@@ -65,20 +67,24 @@ def sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
             sums = [np.cumsum(np.append(np.uint64(0), bt.mix(values ^ np.uint64(s)))) for s in (0, 0x5BD1E995)]
             digests = [bt.signed(x[bounds[1:]] - x[bounds[:-1]]) for x in sums]
             sizes = np.diff(bounds)
-            kept = np.minimum(sizes, KEPT)
-            least = values[bt.expand(bounds[:-1], kept)].astype(np.int64)
+            parts = []
+            for most in (RANKS + 2, KEPT):
+                kept = np.minimum(sizes, most)
+                parts.append((values[bt.expand(bounds[:-1], kept)].astype(np.int64), np.append(0, np.cumsum(kept))))
+            low, least = bt.lists(*parts[0]), bt.lists((parts[1][0] >> 32).astype(np.int32), parts[1][1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, digests), bt.lists(least, np.concatenate([[0], np.cumsum(kept)]))],
-                ["doc_id", "n", "digest_a", "digest_b", "least"],
+                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, digests), low, least],
+                ["doc_id", "n", "digest_a", "digest_b", "low", "least"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n long, digest_a long, digest_b long, least array<long>")
+    schema = "doc_id long, n long, digest_a long, digest_b long, low array<long>, least array<int>"
+    return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
 def shared_in_union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the KEPT least values of each union of two sketches: how many there are and how many are in both."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both < np.iinfo(np.int64).max
+    real = both < np.iinfo(np.int32).max
     new = real.copy()
     new[:, 1:] &= both[:, 1:] != both[:, :-1]
     rank = np.cumsum(new, axis=1)
@@ -89,7 +95,7 @@ def shared_in_union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def padded(column: pa.Array) -> np.ndarray:
     """Sketches as rows of KEPT values."""
     sizes = np.asarray(pc.list_value_length(column), np.int64)
-    out = np.full((len(sizes), KEPT), np.iinfo(np.int64).max, np.int64)
+    out = np.full((len(sizes), KEPT), np.iinfo(np.int32).max, np.int32)
     inside = np.arange(KEPT) < sizes[:, None]
     out[inside] = np.asarray(column.flatten())
     return out
@@ -99,10 +105,24 @@ def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percen
     """Which pairs of sketches may belong to sets of this similarity."""
     size, shared = shared_in_union(a, b)
     whole = np.maximum(n_a, n_b) <= KEPT
-    enough = np.where(whole, 100 * shared >= percent * size, shared * KEPT >= SHARED * size)
+    enough = np.where(whole, 100 * (shared + 1) >= percent * size, shared * KEPT >= SHARED * size)
     return enough & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
+def shared_values(sketches: np.ndarray) -> np.ndarray:
+    """How many values each two sketches of a block share."""
+    values, inverse, counts = np.unique(sketches, return_inverse=True, return_counts=True)
+    common = (counts > 1) & (values < np.iinfo(np.int32).max)
+    column = np.where(common, np.cumsum(common) - 1, -1)[inverse].reshape(sketches.shape)
+    total = np.zeros((len(sketches), len(sketches)), np.float32)
+    for at in range(0, int(common.sum()), 4096):
+        row, place = np.nonzero((column >= at) & (column < at + 4096))
+        holds = np.zeros((len(sketches), 4096), np.float32)
+        holds[row, column[row, place] - at] = 1
+        total += holds @ holds.T
+    return total.astype(np.int64)
+
+
 def star_pairs(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): each list's least document with the others, where their sketches pass."""
     centers = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last")
@@ -141,22 +161,22 @@ def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: i
         lists, ids, comps, n = (np.asarray(rows.column(c)) for c in ("list", "doc_id", "component", "n"))
         right, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
         least = padded(rows.column("least").combine_chunks())
+        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
         firsts = bt.group_firsts(lists)
-        ends = np.append(firsts[1:], len(lists))
-        found: list[tuple] = []
-        last = np.repeat(ends, ends - firsts)
-        for start in range(0, len(lists), 256):
-            mine = np.arange(start, min(start + 256, len(lists)))
-            a = np.repeat(mine, last[mine] - mine - 1)
-            b = bt.expand(mine + 1, last[mine] - mine - 1)
-            good = (comps[a] != comps[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-            good &= inner[a] | (right[a] != right[b])
-            a, b = a[good], b[good]
+        for start, end in zip(firsts, np.append(firsts[1:], len(lists))):
+            size = n[start:end]
+            shared = shared_values(least[start:end])
+            whole = np.maximum(size[:, None], size) <= KEPT
+            union = np.minimum(size[:, None] + size - shared, KEPT * 2)
+            good = np.where(whole, 100 * (shared + 1) >= percent * union, shared >= np.minimum(SHARED, size[:, None]))
+            good &= comps[start:end, None] < comps[start:end]
+            good &= inner[start] | (right[start:end, None] != right[start:end])
+            a, b = np.nonzero(good)
             for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000], b[at : at + 20_000]
+                x, y = a[at : at + 20_000] + start, b[at : at + 20_000] + start
                 ok = alike(least[x], least[y], n[x], n[y], percent)
-                found.append((np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])))
-        pairs = np.unique(np.array([np.concatenate(c) for c in zip(*found)], np.int64).reshape(2, -1), axis=1) if found else np.zeros((2, 0), np.int64)
+                found.append(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +235,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text: st
     digest = ["digest_a", "digest_b", "n"]
     classes = staged(sets.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = staged(reps.select("doc_id", "n", "least"), "representatives")
+    reps = staged(reps.select("doc_id", "n", "low", "least"), "representatives")
     # Sets of which one more or less shingle is too much have links only within their class.
     smallest = -(-percent // (100 - percent))
-    low = F.slice("least", 1, RANKS + 2)
-    pairs_of = F.flatten(F.transform(low, lambda v, i: F.transform(F.slice(low, i + 2, 2), lambda w: F.xxhash64(v, w))))
+    pairs_of = F.flatten(F.transform("low", lambda v, i: F.transform(F.slice("low", i + 2, 2), lambda w: F.xxhash64(v, w))))
     lists = staged(reps.filter(F.col("n") >= smallest).select("doc_id", F.explode(pairs_of).alias("key")), "lists")
     pairs = staged(star_pairs(lists, reps, percent), "stars")
     links = confirmed(pairs, docs, width, percent, text)
