@@ -1,10 +1,72 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: rejects poor documents, keeps one of each near-duplicate group, removes repeated phrases,
+masks personal data, packs what is left.
 
-from pyspark.sql import DataFrame, SparkSession
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
+return the columns of ``documents``.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from crowdread.llm import minhash, packing, phrase_dedup, pii, quality
+from crowdread.llm.staging import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates of the pipeline: five words, a similarity of 0.8.
+WORDS, PERCENT = 5, 80
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scores = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    poor = scores.filter("predicted = 0").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(poor, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    copies = minhash.near_duplicates(docs, WORDS, PERCENT).filter("NOT kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the phrases that an earlier one has; line breaks are kept where nothing is removed."""
+    spans = phrase_dedup.repeated_spans(docs)
+    touched = docs.join(spans.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return kept.unionByName(documents(phrase_dedup.remove_words(touched, spans)))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return documents(pii.masked(docs.select(*COLUMNS)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", drop_poor),
+    ("near-duplicate documents", drop_copies),
+    ("repeated phrases", drop_phrases),
+    ("personal data", mask_personal_data),
+    ("packing", pack),
+]
+
+#: Models, sketches and tokenizers have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -5,19 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crowdread.llm import byte_bpe, minhash, packing, phrase_dedup, quantised
+from crowdread.llm import byte_bpe, licences, minhash, packing, phrase_dedup, pii, quality, quantised, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined(spans: str) -> Column:
+    """kind:start:end of all spans, in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter(F.col("base.kind"), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,8 +69,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_licences": op2_licences,
     "op3_quantised": op3_quantised,
+    "op4_quality": op4_quality,
     "op5_minhash": op5_minhash,
+    "op6_rules": op6_rules,
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
