@@ -92,11 +92,11 @@ def shared_in_union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.minimum(rank[:, -1], KEPT), twice.sum(axis=1)
 
 
-def padded(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of KEPT values."""
+def padded(column: pa.Array, most: int = KEPT, kind: type = np.int32) -> np.ndarray:
+    """Lists as rows of ``most`` values, filled up with the greatest value."""
     sizes = np.asarray(pc.list_value_length(column), np.int64)
-    out = np.full((len(sizes), KEPT), np.iinfo(np.int32).max, np.int32)
-    inside = np.arange(KEPT) < sizes[:, None]
+    out = np.full((len(sizes), most), np.iinfo(kind).max, kind)
+    inside = np.arange(most) < sizes[:, None]
     out[inside] = np.asarray(column.flatten())
     return out
 
@@ -109,6 +109,21 @@ def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percen
     return enough & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
+def first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rank, in the first document, of the first list that both documents are in."""
+    out = np.full(len(a), 2 * a.shape[1])
+    at_b = np.full(a.shape, -9)  # where each value of the first document stands in the second
+    for i in range(a.shape[1]):
+        same = (b == a[:, i, None]) & (a[:, i, None] < np.iinfo(a.dtype).max)
+        at_b[:, i] = np.where(same.any(axis=1), same.argmax(axis=1), -9)
+    for i in range(a.shape[1] - 2, -1, -1):
+        for gap in (2, 1):
+            if i + gap < a.shape[1]:
+                step = at_b[:, i + gap] - at_b[:, i]
+                out[(at_b[:, i] >= 0) & (step >= 1) & (step <= 2)] = 2 * i + gap - 1
+    return out
+
+
 def shared_values(sketches: np.ndarray) -> np.ndarray:
     """How many values each two sketches of a block share."""
     values, inverse, counts = np.unique(sketches, return_inverse=True, return_counts=True)
@@ -148,19 +163,20 @@ def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: i
     open_lists = named.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).filter("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(open_lists, "key").join(reps.select("doc_id", "n", "least"), "doc_id")
+    rows = named.join(open_lists, "key").join(reps.select("doc_id", "n", "low", "least"), "doc_id")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"),
         (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("inner"),
-        "doc_id", "component", "n", "least",
+        "doc_id", "component", "n", "rank", "low", "least",
     )
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         lists, ids, comps, n = (np.asarray(rows.column(c)) for c in ("list", "doc_id", "component", "n"))
         right, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
         least = padded(rows.column("least").combine_chunks())
+        rank, low = np.asarray(rows.column("rank")), padded(rows.column("low").combine_chunks(), RANKS + 2, np.int64)
         found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
         firsts = bt.group_firsts(lists)
         for start, end in zip(firsts, np.append(firsts[1:], len(lists))):
@@ -175,6 +191,7 @@ def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: i
             for at in range(0, len(a), 20_000):
                 x, y = a[at : at + 20_000] + start, b[at : at + 20_000] + start
                 ok = alike(least[x], least[y], n[x], n[y], percent)
+                ok[ok] = rank[x[ok]] == first_list(low[x[ok]], low[y[ok]])
                 found.append(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -218,7 +235,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", text).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # The same plan at every size: ids may be many, so they are not broadcast.
+    texts = docs.select("doc_id", text).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = staged(texts.mapInArrow(sets, "doc_id long, members array<long>"), "sets")
     first = members.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a"))
     second = members.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b"))
@@ -239,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text: st
     # Sets of which one more or less shingle is too much have links only within their class.
     smallest = -(-percent // (100 - percent))
     pairs_of = F.flatten(F.transform("low", lambda v, i: F.transform(F.slice("low", i + 2, 2), lambda w: F.xxhash64(v, w))))
-    lists = staged(reps.filter(F.col("n") >= smallest).select("doc_id", F.explode(pairs_of).alias("key")), "lists")
+    lists = staged(reps.filter(F.col("n") >= smallest).select("doc_id", F.posexplode(pairs_of).alias("rank", "key")), "lists")
     pairs = staged(star_pairs(lists, reps, percent), "stars")
     links = confirmed(pairs, docs, width, percent, text)
     first = staged(components(links), "components")
