@@ -132,11 +132,14 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
     return done
 
 
-def reaches(before: list[bytes], after: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each suffix, (left, right) reaches of matches with others that cover ``length`` bytes together."""
+def reaches(before: list[bytes], after: list[bytes], length: int) -> list[tuple[int, int]]:
+    """For each suffix, how far matches with others that cover ``length`` bytes reach to its left and right.
+
+    All matches of a suffix hold its anchor, so together they cover one range; (0, 0) without a match.
+    """
     order = deep_shallow(after)
     depths = [common(after[a], after[b]) for a, b in zip(order, order[1:])]
-    out: list[list[tuple[int, int]]] = [[] for _ in order]
+    out = [(0, 0)] * len(order)
 
     def node(first: int, last: int, depth: int) -> None:
         """All suffixes order[first:last] share ``depth`` bytes."""
@@ -149,7 +152,7 @@ def reaches(before: list[bytes], after: list[bytes], length: int) -> list[list[t
             left[k], left[k + 1] = max(left[k], n), n
         for i, n in zip(mine, left):
             if n + depth >= length:
-                out[i].append((n, depth))
+                out[i] = (max(out[i][0], n), max(out[i][1], depth))
 
     # The nodes of the suffix tree are the maximal ranges whose common prefixes are at least their depth.
     open_nodes: list[tuple[int, int]] = []
@@ -195,18 +198,19 @@ def match_group(group: pa.Table, length: int) -> pa.Table:
     """doc_id, start and end (bytes) of the matches of one bucket of anchors. Equal surroundings are one suffix."""
     ids, at, anchor = (np.asarray(group.column(c)) for c in ("doc_id", "at", "anchor"))
     before, after = (group.column(c).to_pylist() for c in ("before", "after"))
-    out: list[tuple[int, int, int]] = []
     by_anchor: dict[int, dict[tuple[bytes, bytes], list[int]]] = {}
     for i, key in enumerate(anchor.tolist()):
         by_anchor.setdefault(key, {}).setdefault((before[i], after[i]), []).append(i)
+    left, right = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     for classes in by_anchor.values():
-        sides, members = list(classes), list(classes.values())
-        found = reaches([b for b, _ in sides], [a for _, a in sides], length) if len(sides) > 1 else [[]]
-        for (b, a), rows, pairs in zip(sides, members, found):
-            whole = [(len(b), len(a))] if len(rows) > 1 and len(b) + len(a) >= length else []
-            for i in rows:
-                out += [(int(ids[i]), int(at[i]) - left, int(at[i]) + right) for left, right in [*whole, *pairs]]
-    return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["doc_id", "start", "end"])
+        sides = list(classes)
+        found = reaches([b for b, _ in sides], [a for _, a in sides], length) if len(sides) > 1 else [(0, 0)]
+        for (b, a), rows, (x, y) in zip(sides, classes.values(), found):
+            if len(rows) > 1 and len(b) + len(a) >= length:
+                x, y = len(b), len(a)
+            left[rows], right[rows] = x, y
+    hit = right > 0
+    return pa.table({"doc_id": ids[hit], "start": (at - left)[hit], "end": (at + right)[hit]})
 
 
 def frequent_matches(candidates: DataFrame, anchors: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -284,7 +288,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     found = rare.groupBy("bucket").applyInArrow(lambda t: match_group(t, length), "doc_id long, start long, end long")
     if often.take(1):
         found = found.unionByName(frequent_matches(candidates, often, length, buckets))
-    spans = found.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = staged(spans, "spans")
     release(anchors, candidates, suffixes, often)
     return out
