@@ -15,16 +15,13 @@ def top_per_group(
 ) -> DataFrame:
     """The first n rows of each group, with their rank.
 
-    Up to ``windowGroupLimitThreshold`` (1000) Spark drops rows past rank n before the
-    shuffle, so a group brings at most n rows per map task. For a larger n the rows are
-    ranked within salted parts of the group first, and only the survivors meet.
+    Rows are ranked within salted parts of the group first, and only the first n of each part
+    meet, so a group brings at most ``SPREAD`` times n rows to one task, whatever n is.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_inputs(df, keys)), F.lit(SPREAD)))
-        by_part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        part = salted.withColumn("_part_rank", F.row_number().over(by_part))
-        df = part.filter(F.col("_part_rank") <= n).drop("_salt", "_part_rank")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_inputs(df, keys)), F.lit(SPREAD)))
+    by_part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    part = salted.withColumn("_part_rank", F.row_number().over(by_part))
+    df = part.filter(F.col("_part_rank") <= n).drop("_salt", "_part_rank")
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= n)
 

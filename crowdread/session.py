@@ -37,10 +37,14 @@ def _one_machine_dir() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (one
-    machine, tests) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``; only a session on one machine may
+    leave it unset, and a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _one_machine_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _one_machine_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
