@@ -35,27 +35,30 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, the base statistics and the ratios that rules may use."""
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("w", F.array_remove(F.split("t", SPLIT), ""))
-    rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
     rows = rows.withColumn("n", F.size("w"))
-    grams = F.transform(
-        F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("p")),
-    )
-    rows = rows.withColumn("g", F.sort_array(grams))
+    # The few signs that are counted, taken out in one pass over the text.
+    rows = rows.withColumn("signs", F.regexp_replace("t", r"[^#*$%&|<>!A-Z]+", ""))
+    starts = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("h", F.transform(starts, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
+    # Most texts repeat no window: their hashes need not be sorted with their places.
+    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    rows = rows.withColumn("g", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     twice = F.filter("g", lambda x, i: (F.get("g", i + 1)["h"] == x["h"]) | ((i > 0) & (F.get("g", i - 1)["h"] == x["h"])))
     rows = rows.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["p"])))
     steps = F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3))))
     rows = rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        occurrences(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        occurrences(F.col("signs"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        occurrences(F.col("t"), "|").alias("n_bars"),
-        occurrences(F.col("t"), "!").alias("n_bangs"),
-        occurrences(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        occurrences(F.col("signs"), "|").alias("n_bars"),
+        occurrences(F.col("signs"), "!").alias("n_bangs"),
+        occurrences(F.col("signs"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
