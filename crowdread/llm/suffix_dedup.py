@@ -7,7 +7,11 @@ still agree. The order and its common prefixes give a tree of suffixes; within e
 is deep enough, the order of the reversed bytes before the anchors tells how far a match reaches
 to the left, and both sides together cover LENGTH bytes or not.
 
-Anchors with more than ``MOST`` occurrences are decided by the digests of the strings that start before them
+Only the strings that have a place as their anchor count there, which bounds its surroundings to less than LENGTH bytes
+on either side. Surroundings that are equal are one class, found by 128-bit digests: a class of two or
+more recurs whole, and one suffix stands for it. Only anchors with several classes of which one occurs once are sorted.
+
+Anchors with more than ``MOST`` such classes are decided by the digests of the strings that start before them
 (counted over all documents with partial sums), which leaves no group unbounded and drops nothing.
 
 Null and empty texts have no bytes. Matches never cross documents and are judged on the input. A row without
@@ -31,6 +35,7 @@ GRAM = 32
 SHALLOW = 32
 MOST = 3000
 BUCKET_BYTES = 16 << 20
+PLACE = ["anchor", "first", "second", "doc_id", "at", "left", "right", "many"]
 
 
 class Anchors:
@@ -46,6 +51,21 @@ class Anchors:
         marked, self.least = bt.anchors(self.values, width, valid)
         self.at = np.flatnonzero(marked)
         self.rows = np.searchsorted(offsets, self.at, "right") - 1
+        self.width, self.length = width, length
+
+    def reach(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First start and last end of the strings that have these places as anchors.
+
+        The windows around a place without a smaller value are neighbours, so their starts are one run of ``least``.
+        """
+        firsts = bt.group_firsts(self.least)
+        ends = np.append(firsts[1:], len(self.least))
+        low, open_, run = at - self.width + 1, np.arange(len(at)), np.zeros(len(at), np.int64)
+        run[:] = np.searchsorted(firsts, np.maximum(low, 0), "right") - 1
+        while len(open_):
+            open_ = open_[self.least[firsts[run[open_]]] != self.values[at[open_]]]
+            run[open_] += 1
+        return np.maximum(firsts[run], low), np.minimum(ends[run] - 1, at) + self.length
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -167,8 +187,13 @@ def reaches(before: list[bytes], after: list[bytes], length: int) -> list[tuple[
     return out
 
 
-def contexts(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Packed suffixes at recurring anchors: per bucket, the anchor, place, bytes before (reversed) and from it on."""
+def places(candidates: DataFrame, length: int) -> DataFrame:
+    """Recurring anchors with digests of the strings around them: anchor, first, second, doc_id, at, reach to the
+    left and right, and ``many``, how often a slice has these surroundings.
+
+    Each slice sends equal surroundings once. If it has them twice, they recur, and rows without ``many`` hold
+    their byte ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, "text"):
@@ -176,40 +201,80 @@ def contexts(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
             found = Anchors(data, offsets, length)
             recurring = np.asarray(batch.column("anchors").flatten()).view(np.uint64)
             keep = np.isin(found.values[found.at], recurring)
+            if not keep.any():
+                continue
             at, rows = found.at[keep], found.rows[keep]
-            plain = data.tobytes()
-            first, last = offsets[rows].tolist(), offsets[rows + 1].tolist()
             anchor = found.values[at]
-            before = [plain[max(a, p - length) : p][::-1] for p, a in zip(at.tolist(), first)]
-            after = [plain[p : min(b, p + length)] for p, b in zip(at.tolist(), last)]
+            low, high = found.reach(at)
+            left, right = at - low, high - at
+            first, second = (bt.segment_hashes(data, at - left, at + right, seed) for seed in (21, 22))
+            first ^= bt.mix(left.astype(np.uint64) + np.uint64(1))
+            fields = [anchor, first, second, np.asarray(batch.column("doc_id"))[rows], at - offsets[rows], left, right]
+            order = np.lexsort((second, first, anchor))
+            anchor, first, second, ids, at, left, right = (x[order] for x in fields)
+            heads = bt.group_firsts(anchor, first, second)
+            sizes = np.diff(np.append(heads, len(anchor)))
+            twice = np.repeat(sizes > 1, sizes)
+            hit, start, end = merged(ids[twice], (at - left)[twice], (at + right)[twice])
+            n, m = len(heads), len(hit)
+            none, zero = pa.nulls(m, pa.int64()), np.zeros(m, np.int64)
+            columns = [pa.concat_arrays([pa.array(bt.signed(x[heads])), none]) for x in (anchor, first, second)]
+            columns += [pa.array(np.append(x[heads], y)) for x, y in ((ids, hit), (at, start), (left, zero), (right, end - start))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.array(sizes), none])], PLACE)
+
+    return candidates.mapInArrow(run, ", ".join(f"{c} long" for c in PLACE))
+
+
+def merged(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of byte ranges per document."""
+    order = np.lexsort((starts, ids))
+    ids, starts, ends = ids[order], starts[order], ends[order]
+    number = np.cumsum(np.append(0, ids[1:] != ids[:-1]))[: len(ids)] << 40
+    reached = np.maximum.accumulate(number + ends) - number if len(ids) else ends
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > reached[:-1])
+    firsts = np.flatnonzero(new)
+    lasts = np.append(firsts[1:], len(ids))[: len(firsts)] - 1
+    return ids[firsts], starts[firsts], reached[lasts]
+
+
+def contexts(asked: DataFrame, buckets: int) -> DataFrame:
+    """The suffixes to sort: per bucket, the anchor, place, bytes before (reversed) and from it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bt.slices(batches, "text"):
+            data, offsets = bt.text_bytes(batch.column("text"))
+            plain, lists = data.tobytes(), batch.column("places")
+            rows = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            at, anchor, single, left, right = (lists.flatten().field(i) for i in range(5))
+            place = np.asarray(at) + offsets[rows]
+            before = [plain[a:p][::-1] for p, a in zip(place.tolist(), (place - np.asarray(left)).tolist())]
+            after = [plain[p:b] for p, b in zip(place.tolist(), (place + np.asarray(right)).tolist())]
+            bucket = (np.asarray(anchor).view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((anchor % np.uint64(buckets)).astype(np.int32)), pa.array(bt.signed(anchor)),
-                    pa.array(np.asarray(batch.column("doc_id"))[rows]), pa.array(at - offsets[rows]),
+                    pa.array(bucket), anchor, pa.array(np.asarray(batch.column("doc_id"))[rows]), at, single,
                     pa.array(before, pa.binary()), pa.array(after, pa.binary()),
                 ],
-                ["bucket", "anchor", "doc_id", "at", "before", "after"],
+                ["bucket", "anchor", "doc_id", "at", "single", "before", "after"],
             )
 
-    return candidates.mapInArrow(run, "bucket int, anchor long, doc_id long, at long, before binary, after binary")
+    schema = "bucket int, anchor long, doc_id long, at long, single boolean, before binary, after binary"
+    return asked.mapInArrow(run, schema)
 
 
 def match_group(group: pa.Table, length: int) -> pa.Table:
-    """doc_id, start and end (bytes) of the matches of one bucket of anchors. Equal surroundings are one suffix."""
+    """doc_id, start and end (bytes) of the matches of one bucket of anchors, for the suffixes that occur once."""
     ids, at, anchor = (np.asarray(group.column(c)) for c in ("doc_id", "at", "anchor"))
     before, after = (group.column(c).to_pylist() for c in ("before", "after"))
-    by_anchor: dict[int, dict[tuple[bytes, bytes], list[int]]] = {}
+    by_anchor: dict[int, list[int]] = {}
     for i, key in enumerate(anchor.tolist()):
-        by_anchor.setdefault(key, {}).setdefault((before[i], after[i]), []).append(i)
+        by_anchor.setdefault(key, []).append(i)
     left, right = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for classes in by_anchor.values():
-        sides = list(classes)
-        found = reaches([b for b, _ in sides], [a for _, a in sides], length) if len(sides) > 1 else [(0, 0)]
-        for (b, a), rows, (x, y) in zip(sides, classes.values(), found):
-            if len(rows) > 1 and len(b) + len(a) >= length:
-                x, y = len(b), len(a)
-            left[rows], right[rows] = x, y
-    hit = right > 0
+    for rows in by_anchor.values():
+        found = reaches([before[i] for i in rows], [after[i] for i in rows], length)
+        left[rows], right[rows] = np.array(found).T
+    hit = (right > 0) & group.column("single").to_numpy(zero_copy_only=False)
     return pa.table({"doc_id": ids[hit], "start": (at - left)[hit], "end": (at + right)[hit]})
 
 
@@ -282,15 +347,28 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     buckets = 1 + text_size(docs) // BUCKET_BYTES
     anchors = recurring_anchors(docs, find, buckets, within=True)
     candidates = staged(docs.join(anchors, "doc_id"), "candidates")
-    suffixes = staged(contexts(candidates, length, 16 * buckets), "suffixes")
-    often = staged(suffixes.groupBy("anchor").count().filter(F.col("count") > MOST).select("anchor"), "often")
-    rare = suffixes.join(often, "anchor", "left_anti").select("bucket", "anchor", "doc_id", "at", "before", "after")
-    found = rare.groupBy("bucket").applyInArrow(lambda t: match_group(t, length), "doc_id long, start long, end long")
+    sent = staged(places(candidates, length), "places")
+    entries = sent.filter("many IS NOT NULL")
+    key = ["anchor", "first", "second"]
+    # All firsts are of one row, and all rows of a class have the same surroundings.
+    classes = entries.groupBy(*key).agg(F.sum("many").alias("n"), *[F.first(c).alias(c) for c in PLACE[3:7]])
+    classes = staged(classes, "classes")
+    whole = entries.filter("many = 1").join(classes.filter("n > 1").select(*key), key)
+    span = ["doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")]
+    found = sent.filter("many IS NULL").select(*span).unionByName(whole.select(*span))
+    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
+    kinds = staged(kinds.filter("kinds > 1 AND fewest = 1").select("anchor", "kinds"), "kinds")
+    often = kinds.filter(F.col("kinds") > MOST).select("anchor")
+    rare = classes.join(kinds.filter(F.col("kinds") <= MOST), "anchor")
+    rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", (F.col("n") == 1).alias("single"), "left", "right")).alias("places"))
+    suffixes = contexts(candidates.select("doc_id", "text").join(rare, "doc_id"), 16 * buckets)
+    ranges = suffixes.groupBy("bucket").applyInArrow(lambda t: match_group(t, length), "doc_id long, start long, end long")
+    found = found.unionByName(ranges)
     if often.take(1):
         found = found.unionByName(frequent_matches(candidates, often, length, buckets))
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = staged(spans, "spans")
-    release(anchors, candidates, suffixes, often)
+    release(anchors, candidates, sent, classes, kinds)
     return out
 
 
