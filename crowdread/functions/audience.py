@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from crowdread.functions.labels import Terms
@@ -49,28 +51,37 @@ def correct_sentiment(terms: Terms, sentiment: Column, pos: Column, neg: Column)
     )
 
 
-def _points(*parts: tuple[Column, float]) -> Column:
-    total = F.lit(0.0)
+def exact(number: str) -> Column:
+    return F.lit(Decimal(number))
+
+
+def score(value: Column) -> Column:
+    """A score as a decimal of six places."""
+    return value.cast("decimal(9,6)")
+
+
+def _points(*parts: tuple[Column, str]) -> Column:
+    total = exact("0.00")
     for test, value in parts:
-        total = total + F.when(test, F.lit(value)).otherwise(F.lit(0.0))
+        total = total + F.when(test, exact(value)).otherwise(exact("0.00"))
     return total
 
 
 def positivity(pos: Column, intent: Column, likes: Column, length: Column) -> Column:
     liked = (
-        F.when(likes > 50, F.lit(0.15))
-        .when(likes > 10, F.lit(0.07))
-        .when(likes > 4, F.lit(0.03))
-        .otherwise(F.lit(0.0))
+        F.when(likes > 50, exact("0.15"))
+        .when(likes > 10, exact("0.07"))
+        .when(likes > 4, exact("0.03"))
+        .otherwise(exact("0.00"))
     )
     return F.round(
-        pos * 0.50
-        + _points((intent == "praise", 0.20))
-        + _points(((intent == "suggestion") & (pos > 0.4), 0.10))
-        + liked
-        + _points((length > 100, 0.05)),
+        score(pos) * exact("0.50")
+        + _points(
+            (intent == "praise", "0.20"), ((intent == "suggestion") & (pos > 0.4), "0.10"), (length > 100, "0.05")
+        )
+        + liked,
         3,
-    )
+    ).cast("double")
 
 
 def criticism(
@@ -78,25 +89,24 @@ def criticism(
     blames: Column, helps: Column,
 ) -> Column:
     praise = (intent == "praise") | (pos > 0.70)
-    base = F.when(praise | helps, F.lit(0.0)).otherwise(neg * 0.45)
+    base = F.when(praise | helps, exact("0.00")).otherwise(score(neg) * exact("0.45"))
     return F.round(
         base
-        + _points((blames & ~helps, 0.30))
-        + _points(((intent == "complaint") & ~helps, 0.15))
-        + _points((sarcastic & (neg > 0.3) & ~praise, 0.10))
-        + _points(((likes > 20) & (neg > 0.5) & ~praise, 0.10)),
+        + _points(
+            (blames & ~helps, "0.30"),
+            ((intent == "complaint") & ~helps, "0.15"),
+            (sarcastic & (neg > 0.3) & ~praise, "0.10"),
+            ((likes > 20) & (neg > 0.5) & ~praise, "0.10"),
+        ),
         3,
-    )
+    ).cast("double")
 
 
 def curiosity(neg: Column, intent: Column, asks: Column, blames: Column, helps: Column) -> Column:
     rhetorical = blames & (neg > 0.55)
     return F.round(
-        _points((asks & ~rhetorical, 0.50))
-        + _points(((intent == "question") & ~rhetorical, 0.20))
-        + _points((helps, 0.10)),
-        3,
-    )
+        _points((asks & ~rhetorical, "0.50"), ((intent == "question") & ~rhetorical, "0.20"), (helps, "0.10")), 3
+    ).cast("double")
 
 
 def assign_segment(
@@ -123,15 +133,15 @@ def assign_segment(
 def quality_score(
     length: Column, likes: Column, pos: Column, neg: Column, toxic: Column, intent: Column
 ) -> Column:
+    """Exact decimals until the one rounding, half up; 0.30 / 200 and 0.30 / 50 are the steps of length and likes."""
     raw = (
-        0.30 * F.least(length / F.lit(200.0), F.lit(1.0))
-        + 0.30 * F.least(likes / F.lit(50.0), F.lit(1.0))
-        + 0.20 * pos
-        + 0.10 * (1 - neg)
-        + F.when(toxic, F.lit(-0.5)).otherwise(F.lit(0.0))
-        + F.when(intent.isin("question", "suggestion"), F.lit(0.2)).otherwise(F.lit(0.0))
+        exact("0.0015") * F.least(length, F.lit(200))
+        + exact("0.006") * F.least(likes, F.lit(50))
+        + exact("0.20") * score(pos)
+        + exact("0.10") * (1 - score(neg))
+        + _points((toxic, "-0.5"), (intent.isin("question", "suggestion"), "0.2"))
     )
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
+    return F.round(F.greatest(exact("0"), F.least(exact("1"), raw)), 3).cast("double")
 
 
 def approval_band(approval: Column) -> Column:

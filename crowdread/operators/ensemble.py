@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from crowdread.functions import votes
 from crowdread.functions.labels import Terms
 from crowdread.operators.terms import lowered
-from crowdread.schema import EMOTIONS
 
 VOTES = ("vote_model", "vote_sentiment", "vote_keywords")
 
@@ -40,10 +39,8 @@ def vote_conflicts(df: DataFrame) -> DataFrame:
 
 
 def apply_tiebreaks(df: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Outside labels (``comment_id``, ``emotion``) replace the winner of conflict rows."""
-    known = overrides.filter(F.col("emotion").isin(*EMOTIONS)).select(
-        "comment_id", F.col("emotion").alias("_override")
-    )
+    """Outside labels (``comment_id``, ``emotion``) replace the winner of conflict rows, whatever they are."""
+    known = overrides.select("comment_id", F.col("emotion").alias("_override"))
     won = F.col("dominant_emotion")
     settled = F.when(F.col("conflict"), F.coalesce("_override", won)).otherwise(won)
     return df.join(known, "comment_id", "left").withColumn("dominant_emotion", settled).drop("_override")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdread.functions import labels
 from crowdread.functions.labels import Terms
-from crowdread.functions.text import model_input
 from crowdread.operators.terms import lowered
 from crowdread.schema import LABEL_DEFAULTS, SCORES
 from crowdread.session import staged
@@ -28,7 +27,7 @@ def score_column(text: Column, load_model: Callable[[], Model], batch: int = BAT
     """Scores of a plugged-in model as an array of (label, score).
 
     ``load_model`` runs once per task and returns the model; the model takes a list of at
-    most ``batch`` texts. Only the text travels to Python, cut to the model's input length.
+    most ``batch`` texts. Only the text travels to Python, and whole; a model with an input limit cuts for itself.
     """
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -42,7 +41,7 @@ def score_column(text: Column, load_model: Callable[[], Model], batch: int = BAT
                 rows += [[{"label": n, "score": s} for n, s in out] for out in model(part)]
             yield pandas.Series(rows)
 
-    return F.pandas_udf(score, SCORES)(model_input(text))
+    return F.pandas_udf(score, SCORES)(text)
 
 
 def lexicon_scores(terms: Terms) -> Column:

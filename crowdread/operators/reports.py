@@ -115,8 +115,8 @@ def _sort_keys(df: DataFrame, by: str) -> list[Column]:
 
 
 def sort_comments(df: DataFrame, by: str = "like_count") -> DataFrame:
-    """Descending by the column if it exists; ids break ties, which also splits hot values."""
-    return df.orderBy(*_sort_keys(df, by))
+    """Per video, descending by the column if it exists; ids break ties, which also splits hot values."""
+    return df.orderBy("video_id", *_sort_keys(df, by))
 
 
 def page_comments(df: DataFrame, by: str = "like_count", n: int = PAGE) -> DataFrame:

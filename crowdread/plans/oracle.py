@@ -93,7 +93,7 @@ def first_valid(candidates: Sequence[str], sentiment: str) -> str:
 
 
 def points(*parts: tuple[str, str]) -> str:
-    return " + ".join(f"CASE WHEN {test} THEN {value}e0 ELSE 0e0 END" for test, value in parts)
+    return " + ".join(f"CASE WHEN {test} THEN {value} ELSE 0.00 END" for test, value in parts)
 
 
 RULES = [
@@ -256,17 +256,17 @@ def axes_step(source: str) -> str:
     rhetorical = "(blames AND negative_score > 0.55e0)"
     return f"""
 SELECT *,
-       round(positive_score * 0.50e0 + {points(("intent = 'praise'", "0.20"))}
+       CAST(round(CAST(positive_score AS DECIMAL(9, 6)) * 0.50 + {points(("intent = 'praise'", "0.20"))}
              + {points(("intent = 'suggestion' AND positive_score > 0.4e0", "0.10"))}
-             + CASE WHEN likes > 50 THEN 0.15e0 WHEN likes > 10 THEN 0.07e0 WHEN likes > 4 THEN 0.03e0
-                    ELSE 0e0 END
-             + {points(("length(text) > 100", "0.05"))}, 3) AS positivity,
-       round(CASE WHEN {praise} OR helps THEN 0e0 ELSE negative_score * 0.45e0 END
+             + CASE WHEN likes > 50 THEN 0.15 WHEN likes > 10 THEN 0.07 WHEN likes > 4 THEN 0.03
+                    ELSE 0.00 END
+             + {points(("length(text) > 100", "0.05"))}, 3) AS DOUBLE) AS positivity,
+       CAST(round(CASE WHEN {praise} OR helps THEN 0.00 ELSE CAST(negative_score AS DECIMAL(9, 6)) * 0.45 END
              + {points(("blames AND NOT helps", "0.30"), ("intent = 'complaint' AND NOT helps", "0.15"),
                        (f"is_sarcastic AND negative_score > 0.3e0 AND NOT {praise}", "0.10"),
-                       (f"likes > 20 AND negative_score > 0.5e0 AND NOT {praise}", "0.10"))}, 3) AS criticism,
-       round({points((f"asks AND NOT {rhetorical}", "0.50"), (f"intent = 'question' AND NOT {rhetorical}", "0.20"),
-                     ("helps", "0.10"))}, 3) AS curiosity
+                       (f"likes > 20 AND negative_score > 0.5e0 AND NOT {praise}", "0.10"))}, 3) AS DOUBLE) AS criticism,
+       CAST(round({points((f"asks AND NOT {rhetorical}", "0.50"), (f"intent = 'question' AND NOT {rhetorical}", "0.20"),
+                     ("helps", "0.10"))}, 3) AS DOUBLE) AS curiosity
 FROM (SELECT *, coalesce(like_count, 0) AS likes, {any_of("t", "HELP_REQUESTS")} AS helps,
              {any_of("t", "CRITICISM_MARKERS")} AS blames, {GENUINE_QUESTION} AS asks
       FROM {source}) a"""
@@ -289,10 +289,10 @@ FROM (SELECT *, CASE
 
 
 QUALITY = (
-    "round(greatest(0e0, least(1e0, 0.30e0 * least(length(text) / 200e0, 1e0) "
-    "+ 0.30e0 * least(coalesce(like_count, 0) / 50e0, 1e0) + 0.20e0 * positive_score "
-    "+ 0.10e0 * (1 - negative_score) + CASE WHEN is_toxic THEN -0.5e0 ELSE 0e0 END "
-    "+ CASE WHEN intent IN ('question', 'suggestion') THEN 0.2e0 ELSE 0e0 END)), 3)"
+    "CAST(round(greatest(0.0, least(1.0, 0.30 * CAST(least(length(text), 200) * 0.005 AS DECIMAL(9, 6)) "
+    "+ 0.30 * CAST(least(coalesce(like_count, 0), 50) * 0.02 AS DECIMAL(9, 6)) + 0.20 * CAST(positive_score AS DECIMAL(9, 6)) "
+    "+ 0.10 * (1 - CAST(negative_score AS DECIMAL(9, 6))) + CASE WHEN is_toxic THEN -0.5 ELSE 0.0 END "
+    "+ CASE WHEN intent IN ('question', 'suggestion') THEN 0.2 ELSE 0.0 END)), 3) AS DOUBLE)"
 )
 INTENT = first_of("t", INTENT_RULES, "'general'")
 
@@ -508,8 +508,7 @@ OVERRIDES = (
     "over_all", "SELECT doc_id * 2 AS comment_id, CASE WHEN toxic = 1 THEN 'disgust' WHEN quality = 1 "
     "THEN 'joy' ELSE 'oddlabel' END AS emotion FROM labels")
 OVERRIDE_IF_CONFLICT = (
-    "CASE WHEN v.conflict AND o.emotion IN (" + listed(EMOTIONS) + ") THEN o.emotion "
-    "ELSE v.dominant_emotion END AS dominant_emotion"
+    "CASE WHEN v.conflict THEN coalesce(o.emotion, v.dominant_emotion) ELSE v.dominant_emotion END AS dominant_emotion"
 )
 
 
@@ -523,7 +522,7 @@ def oracle() -> dict[str, str]:
     dump = chain(
         [RAW_STEPS[0]],
         """SELECT CAST(comment_id AS VARCHAR) AS comment_id, video_id,
-                  (ord // 200) * 1048576 + ord % 200 AS pos, CAST(parent_id AS VARCHAR) AS parent_id,
+                  (ord // 200) * 2147483648 + ord % 200 AS pos, CAST(parent_id AS VARCHAR) AS parent_id,
                   is_reply, text, coalesce(like_count, 0) AS like_count
            FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY comment_id) - 1 AS ord
                  FROM comments) o""",
@@ -648,7 +647,7 @@ FROM documents"""
                          round(1 / (e + o + 1e0), 4) AS u
                   FROM (SELECT comment_id, length(x) - length(replace(x, 'e', '')) AS e,
                                length(x) - length(replace(x, 'o', '')) AS o
-                        FROM (SELECT comment_id, substring(text, 1, 512) AS x FROM comments) a) b) c"""
+                        FROM (SELECT comment_id, text AS x FROM comments) a) b) c"""
     )
     out["n2_lexicon_sentiment"] = raw(
         f"SELECT comment_id, {argmax3('lp', 'ln', 'lu')} AS sentiment, lp AS positive_score, "

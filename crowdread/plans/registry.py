@@ -860,7 +860,7 @@ def r11_filter_comments(spark, sf):
 
 @query
 def r12_sort_comments(spark, sf):
-    return reports.sort_comments(stored(spark, sf, "comment_id", "quality_score"), "quality_score")
+    return reports.sort_comments(stored(spark, sf, "video_id", "comment_id", "quality_score"), "quality_score").select("comment_id", "quality_score")
 
 
 @query

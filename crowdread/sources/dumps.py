@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crowdread.functions.urls import canonical_url
 from crowdread.schema import DUMP
 
-PART_BITS = 20
+#: An array has fewer than 2^31 entries, so positions of different parts never meet.
+PART_BITS = 31
 DESCRIPTION_CUT = 500
 
 
@@ -19,7 +20,7 @@ def read_comment_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """
     raw = spark.read.schema(DUMP).json(path)
     part = F.coalesce("part", F.lit(0).cast("bigint"))
-    videos = normalise_video_meta(raw.filter(part == 0).drop("comments", "part"))
+    videos = normalise_video_meta(first_parts(raw.drop("comments")))
     rows = raw.select(F.col("id").alias("video_id"), part.alias("part"), F.posexplode("comments"))
     parent = F.nullif(F.col("col.parent"), F.lit("root"))
     comments = rows.select(
@@ -35,6 +36,15 @@ def read_comment_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return videos, comments
 
 
+def first_parts(lines: DataFrame) -> DataFrame:
+    """Of each video the line of the lowest part; lines without an id are videos of their own."""
+    fields = [c for c in lines.columns if c not in ("id", "part")]
+    part = F.coalesce("part", F.lit(0).cast("bigint"))
+    named = lines.filter("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(*fields), part).alias("first"))
+    unnamed = lines.filter(F.col("id").isNull() & (part == 0))
+    return named.select("id", "first.*").unionByName(unnamed.select("id", *fields))
+
+
 def normalise_video_meta(raw: DataFrame) -> DataFrame:
     """The 13 metadata columns with their defaults."""
 

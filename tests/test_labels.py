@@ -121,7 +121,7 @@ def test_score_column_runs_a_plugged_in_model(spark):
 
     df = spark.createDataFrame([("abc",), (None,), ("x" * 600,)], "text string")
     out = df.select(labelling.score_column(F.col("text"), load, batch=2).alias("s")).collect()
-    assert [r.s[0].score for r in out] == [0.03, 0.0, 5.12]  # cut to 512 characters
+    assert [r.s[0].score for r in out] == [0.03, 0.0, 6.0]  # the whole text
 
 
 def test_toxicity_model_beats_chance(spark, sf):
