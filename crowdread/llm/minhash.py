@@ -8,8 +8,8 @@ document only, which joins groups of copies in linear work; then only documents
 different components are compared. A candidate passes if the union of both sketches shares enough
 values, and is a link if the full sets confirm it.
 
-Sets of at most ``KEPT`` shingles are whole in their sketches. For larger sets, the chance that the
-sketches reject a pair at the least similarity is about 1e-6, and that no list holds a pair about 1e-8;
+Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches. For larger sets, a
+pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
 no list is cut, and long lists are compared block by block.
 
 Empty and null texts have no shingles and no links. A row without doc_id is its own component. Very
@@ -18,6 +18,7 @@ long texts are hashed whole. Repeated rows fall in one class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,10 @@ from crowdread.llm.components import components
 from crowdread.llm.staging import release, staged
 
 KEPT = 192
+FEW = 48
 RANKS = 12
-SHARED = 140
 BLOCK = 1024
+SHORT = 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +84,14 @@ def sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
 
 
 def shared_in_union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the KEPT least values of each union of two sketches: how many there are and how many are in both."""
+    """Of the least values of each union of two sketches, as many as one keeps: how many there are and how many are in both."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both < np.iinfo(np.int32).max
+    kept, real = a.shape[1], both < np.iinfo(np.int32).max
     new = real.copy()
     new[:, 1:] &= both[:, 1:] != both[:, :-1]
     rank = np.cumsum(new, axis=1)
-    twice = real & ~new & (rank <= KEPT)
-    return np.minimum(rank[:, -1], KEPT), twice.sum(axis=1)
+    twice = real & ~new & (rank <= kept)
+    return np.minimum(rank[:, -1], kept), twice.sum(axis=1)
 
 
 def padded(column: pa.Array, most: int = KEPT, kind: type = np.int32) -> np.ndarray:
@@ -101,29 +103,20 @@ def padded(column: pa.Array, most: int = KEPT, kind: type = np.int32) -> np.ndar
     return out
 
 
+def least_shared(kept: int, percent: int) -> int:
+    """Shared values of a union sketch, five standard deviations below those of the least similarity."""
+    p = percent / 100
+    return int(kept * p - 5 * (kept * p * (1 - p)) ** 0.5)
+
+
 def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sketches may belong to sets of this similarity."""
     size, shared = shared_in_union(a, b)
-    whole = np.maximum(n_a, n_b) <= KEPT
-    enough = np.where(whole, 100 * (shared + 1) >= percent * size, shared * KEPT >= SHARED * size)
+    whole = np.maximum(n_a, n_b) <= a.shape[1]
+    enough = np.where(whole, 100 * (shared + 1) >= percent * size, shared >= least_shared(a.shape[1], percent))
     return enough & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rank, in the first document, of the first list that both documents are in."""
-    out = np.full(len(a), 2 * a.shape[1])
-    at_b = np.full(a.shape, -9)  # where each value of the first document stands in the second
-    for i in range(a.shape[1]):
-        same = (b == a[:, i, None]) & (a[:, i, None] < np.iinfo(a.dtype).max)
-        at_b[:, i] = np.where(same.any(axis=1), same.argmax(axis=1), -9)
-    for i in range(a.shape[1] - 2, -1, -1):
-        for gap in (2, 1):
-            if i + gap < a.shape[1]:
-                step = at_b[:, i + gap] - at_b[:, i]
-                out[(at_b[:, i] >= 0) & (step >= 1) & (step <= 2)] = 2 * i + gap - 1
-    return out
-
-
 def shared_values(sketches: np.ndarray) -> np.ndarray:
     """How many values each two sketches of a block share."""
     values, inverse, counts = np.unique(sketches, return_inverse=True, return_counts=True)
@@ -142,6 +135,11 @@ def star_pairs(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): each list's least document with the others, where their sketches pass."""
     centers = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last")
     pairs = lists.join(centers.select("key", "a"), "key").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return passing(pairs, reps, percent)
+
+
+def passing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches pass."""
     first = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("least").alias("least_a"))
     second = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("least").alias("least_b"))
 
@@ -157,42 +155,53 @@ def star_pairs(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): documents of one list but of different components, where their sketches pass.
 
-    A list of more than BLOCK documents is cut into blocks, and each pair of blocks is a group of its own.
+    Only the FEW least values of a sketch travel with the lists; what they let pass is held against the whole
+    sketches. A list of more than BLOCK documents is cut into blocks, and each pair of blocks is a group of its own.
     """
     named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_lists = named.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).filter("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(open_lists, "key").join(reps.select("doc_id", "n", "low", "least"), "doc_id")
+    sketch = F.slice("least", 1, FEW).alias("least")
+    rows = named.join(open_lists, "key").join(reps.select("doc_id", "n", sketch), "doc_id")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"),
         (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("inner"),
-        "doc_id", "component", "n", "rank", "low", "least",
+        "doc_id", "component", "n", "least",
     )
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         lists, ids, comps, n = (np.asarray(rows.column(c)) for c in ("list", "doc_id", "component", "n"))
         right, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
-        least = padded(rows.column("least").combine_chunks())
-        rank, low = np.asarray(rows.column("rank")), padded(rows.column("low").combine_chunks(), RANKS + 2, np.int64)
+        least = padded(rows.column("least").combine_chunks(), FEW)
         found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        firsts = bt.group_firsts(lists)
-        for start, end in zip(firsts, np.append(firsts[1:], len(lists))):
-            size = n[start:end]
-            shared = shared_values(least[start:end])
-            whole = np.maximum(size[:, None], size) <= KEPT
-            union = np.minimum(size[:, None] + size - shared, KEPT * 2)
-            good = np.where(whole, 100 * (shared + 1) >= percent * union, shared >= np.minimum(SHARED, size[:, None]))
-            good &= comps[start:end, None] < comps[start:end]
-            good &= inner[start] | (right[start:end, None] != right[start:end])
-            a, b = np.nonzero(good)
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            """Of rows that share a list, the pairs to go on."""
+            open_ = (comps[a] != comps[b]) & (inner[a] | (right[a] != right[b]))
+            a, b = a[open_], b[open_]
             for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000] + start, b[at : at + 20_000] + start
+                x, y = a[at : at + 20_000], b[at : at + 20_000]
                 ok = alike(least[x], least[y], n[x], n[y], percent)
-                ok[ok] = rank[x[ok]] == first_list(low[x[ok]], low[y[ok]])
                 found.append(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]]))
+
+        firsts = bt.group_firsts(lists)
+        sizes = np.diff(np.append(firsts, len(lists)))
+        short = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+        for gap in range(1, SHORT):  # all short lists at once: each row and the row that follows it by ``gap``
+            a = short[short + gap < len(lists)]
+            a = a[lists[a] == lists[a + gap]]
+            keep(a, a + gap)
+        for start, size in zip(firsts[sizes > SHORT], sizes[sizes > SHORT]):
+            part = n[start : start + size]
+            shared = shared_values(least[start : start + size])
+            whole = np.maximum(part[:, None], part) <= FEW
+            union = part[:, None] + part - shared
+            good = np.where(whole, 100 * (shared + 1) >= percent * union, shared >= least_shared(FEW, percent))
+            a, b = np.nonzero(np.triu(good, 1))
+            keep(a + start, b + start)
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -210,7 +219,8 @@ def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: i
         if rest is not None:
             yield compare(rest)
 
-    return rows.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+    return passing(pairs, reps, percent)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
@@ -256,8 +266,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text: st
     reps = staged(reps.select("doc_id", "n", "low", "least"), "representatives")
     # Sets of which one more or less shingle is too much have links only within their class.
     smallest = -(-percent // (100 - percent))
-    pairs_of = F.flatten(F.transform("low", lambda v, i: F.transform(F.slice("low", i + 2, 2), lambda w: F.xxhash64(v, w))))
-    lists = staged(reps.filter(F.col("n") >= smallest).select("doc_id", F.posexplode(pairs_of).alias("rank", "key")), "lists")
+    # Sets that differ more in size cannot be similar: a list holds two neighbouring classes of sizes (a little wider
+    # than the similarity asks, for rounding), and a document is in both lists that hold its class.
+    step = 1.001 * math.log(100 / percent)
+    size_class = F.floor(F.log("n") / step)
+    keys = F.flatten(F.transform("low", lambda v, i: F.flatten(F.transform(
+        F.slice("low", i + 2, 2), lambda w: F.array(F.xxhash64(v, w, size_class), F.xxhash64(v, w, size_class + 1))
+    ))))
+    reps_in_lists = reps.filter(F.col("n") >= smallest)
+    lists = staged(reps_in_lists.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")), "lists")
     pairs = staged(star_pairs(lists, reps, percent), "stars")
     links = confirmed(pairs, docs, width, percent, text)
     first = staged(components(links), "components")
