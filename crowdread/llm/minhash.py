@@ -8,8 +8,8 @@ document only, which joins groups of copies in linear work; then only documents
 different components are compared. A candidate passes if the union of both sketches shares enough
 values, and is a link if the full sets confirm it.
 
-Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches. For larger sets, a
-pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
+Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches and
+compared exactly, however large their union. For larger sets, a pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
 no list is cut, and long lists are compared block by block.
 
 Empty and null texts have no shingles and no links. A row without doc_id is its own component. Very
@@ -83,14 +83,17 @@ def sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def shared_in_union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the least values of each union of two sketches, as many as one keeps: how many there are and how many are in both."""
+def shared_in_union(a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the union of two sketches, how many values there are and how many are in both.
+
+    Where a sketch is not the whole set, only the least values count, as many as one sketch keeps.
+    """
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    kept, real = a.shape[1], both < np.iinfo(np.int32).max
+    kept, real = np.where(whole, both.shape[1], a.shape[1]), both < np.iinfo(np.int32).max
     new = real.copy()
     new[:, 1:] &= both[:, 1:] != both[:, :-1]
     rank = np.cumsum(new, axis=1)
-    twice = real & ~new & (rank <= kept)
+    twice = real & ~new & (rank <= kept[:, None])
     return np.minimum(rank[:, -1], kept), twice.sum(axis=1)
 
 
@@ -111,8 +114,8 @@ def least_shared(kept: int, percent: int) -> int:
 
 def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sketches may belong to sets of this similarity."""
-    size, shared = shared_in_union(a, b)
     whole = np.maximum(n_a, n_b) <= a.shape[1]
+    size, shared = shared_in_union(a, b, whole)
     enough = np.where(whole, 100 * (shared + 1) >= percent * size, shared >= least_shared(a.shape[1], percent))
     return enough & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 

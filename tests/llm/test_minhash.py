@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from crowdread.llm import minhash
@@ -92,3 +93,31 @@ def test_components_of_long_paths(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = roots(range(400), links)
     assert got == {k: v for k, v in want.items() if k in {x for e in links for x in e if e[0] != e[1]}}
+
+
+#: Sizes of two sets and how many they share: just similar enough.
+WHOLE = {85: [(185, 185, 170), (191, 192, 176), (192, 192, 177), (180, 180, 166)], 80: [(189, 189, 168), (180, 180, 160), (192, 192, 171)]}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_whole_sketches_with_a_larger_union(spark, percent):
+    rows, want = [], {}
+    for n, (a, b, shared) in enumerate(30 * WHOLE[percent]):
+        assert max(a, b) <= minhash.KEPT < a + b - shared and 100 * shared >= percent * (a + b - shared)
+        common = [f"s{n}x{i}" for i in range(shared)]
+        rows += [(2 * n, " ".join(common + [f"a{n}x{i}" for i in range(a - shared)])), (2 * n + 1, " ".join(common + [f"b{n}x{i}" for i in range(b - shared)]))]
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("kept, a, b, shared", [(minhash.KEPT, 185, 185, 170), (minhash.KEPT, 192, 192, 177), (minhash.FEW, 47, 47, 44), (minhash.FEW, 48, 48, 45)])
+def test_whole_sketches_pass_by_their_exact_similarity(kept, a, b, shared):
+    rng = np.random.default_rng(4)
+    for less, good in ((0, True), (4, False)):  # one shared value of slack
+        for _ in range(200):
+            values = rng.choice(1 << 30, a + b - shared + less, replace=False).astype(np.int32)
+            sketches = np.full((2, kept), np.iinfo(np.int32).max, np.int32)
+            sketches[0, :a], sketches[1, :b] = np.sort(values[:a]), np.sort(values[a - shared + less :])
+            n = np.array([[a], [b]])
+            assert minhash.alike(sketches[:1], sketches[1:], *n, 85) == [good]
