@@ -38,8 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the phrases that an earlier one has; line breaks are kept where nothing is removed."""
     spans = phrase_dedup.repeated_spans(docs)
-    touched = docs.join(spans.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    kept = docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    texts, losing = docs.select(*COLUMNS).alias("d"), spans.drop("spans").alias("s")
+    touched = texts.join(losing, phrase_dedup.of_row("text"), "left_semi").select(*COLUMNS)
+    kept = texts.join(losing, phrase_dedup.of_row("text"), "left_anti").select(*COLUMNS)
     return kept.unionByName(documents(phrase_dedup.remove_words(touched, spans)))
 
 

@@ -7,8 +7,11 @@ an Aho-Corasick automaton over word numbers, and the shard's documents are strea
 every occurrence.
 
 Null texts have no words. Texts with fewer words than a window lose nothing. Windows never cross
-documents and are judged on the input. A row without doc_id is kept whole and judges nothing; rows
-with one doc_id count as one document. Result columns replace input columns of the same name.
+documents and are judged on the input. A row without doc_id is kept whole and judges nothing. Rows with
+one doc_id count as one document: they never judge each other, and each loses the words of its own text that a smaller id has,
+so rows that repeat a text lose the same words. Result columns replace input columns of the same name.
+
+Each text of an id is searched once. Word positions of an id's further texts begin at ``base``, behind those of the texts before.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdread.llm import bytetext as bt
 from crowdread.llm.recurring import deal, recurring_anchors, undeal
@@ -54,8 +57,11 @@ class Phrases:
         return bt.gram_hashes(self.words, self.window, 1)[at], bt.gram_hashes(other, self.window, 2)[at]
 
 
-def confirm(candidates: DataFrame, buckets: int, window: int, text: str) -> DataFrame:
-    """doc_id and ``phrases``: runs (start, length) of windows that a document with a smaller id has too."""
+def confirm(candidates: DataFrame, buckets: int, window: int, text: str, place_kind: type = np.int32) -> DataFrame:
+    """doc_id and ``phrases``: runs (start, length) of windows that a document with a smaller id has too.
+
+    Starts count from the base of the row, and ``place_kind`` holds the largest.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, text):
@@ -64,15 +70,17 @@ def confirm(candidates: DataFrame, buckets: int, window: int, text: str) -> Data
             at = np.flatnonzero(np.isin(phrases.least, recurring) & (phrases.least > 0))
             first, second = phrases.digests(at) if len(at) else (np.zeros(0, np.uint64),) * 2
             rows = phrases.rows_of(at)
-            ids, place = np.asarray(batch.column("doc_id"))[rows], at - phrases.bounds[rows]
-            anchor = phrases.least[at]
+            ids, base = np.asarray(batch.column("doc_id"))[rows], np.asarray(batch.column("base"))[rows]
+            place, anchor = at - phrases.bounds[rows] + base, phrases.least[at]
             order = np.lexsort((place, ids, second, first))
-            first, second, ids, place, anchor = (x[order] for x in (first, second, ids, place, anchor))
+            first, second, ids, base, place, anchor = (x[order] for x in (first, second, ids, base, place, anchor))
             heads = bt.group_firsts(first, second)
             later = ids > np.repeat(ids[heads], np.diff(np.append(heads, len(ids))))
+            asks = bt.group_firsts(first, second, ids, base)
+            asks = asks[~later[asks]]  # of the least id, each of its texts
             numbers, payloads = deal(
-                (anchor[heads] % np.uint64(buckets)).astype(np.int64),
-                [first[heads], second[heads], ids[heads], place[heads].astype(np.int32)],
+                (anchor[asks] % np.uint64(buckets)).astype(np.int64),
+                [first[asks], second[asks], ids[asks], place[asks].astype(place_kind)],
             )
             found, at, size = run_rows(ids[later], place[later])
             a, b = len(numbers), len(found)
@@ -86,7 +94,7 @@ def confirm(candidates: DataFrame, buckets: int, window: int, text: str) -> Data
             )
 
     def answer(group: pa.Table) -> pa.Table:
-        first, second, ids, place = undeal(group.column("payload").to_pylist(), [np.uint64, np.uint64, np.int64, np.int32])
+        first, second, ids, place = undeal(group.column("payload").to_pylist(), [np.uint64, np.uint64, np.int64, place_kind])
         order = np.lexsort((ids, second, first))
         first, second, ids, place = first[order], second[order], ids[order], place[order]
         heads = bt.group_firsts(first, second)
@@ -113,7 +121,7 @@ def run_rows(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def locate(shards: DataFrame, window: int, text: str) -> DataFrame:
-    """doc_id and ``spans``: the word ranges that are covered by a confirmed phrase."""
+    """doc_id, mark and ``spans``: the word ranges that are covered by a confirmed phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, text, SHARD_BYTES):
@@ -146,11 +154,11 @@ def locate(shards: DataFrame, window: int, text: str) -> DataFrame:
                 edges = np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "spans"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                ["doc_id", "mark", "spans"],
             )
 
-    return shards.mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
+    return shards.mapInArrow(run, "doc_id long, mark string, spans array<struct<start:int,end:int>>")
 
 
 def letters(words: np.ndarray) -> str:
@@ -161,8 +169,27 @@ def letters(words: np.ndarray) -> str:
     return (words % np.uint64(ALPHABET) + np.uint64(33)).astype("<u2").tobytes().decode("utf-16-le")
 
 
+def mark(text: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def of_row(text: str) -> Column:
+    """Which spans s belong to which documents d; spans of ids with a single row have no mark."""
+    return (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col("s.mark").isNull() | (F.col("s.mark") == mark(f"d.{text}")))
+
+
+def each_text_once(rows: DataFrame) -> DataFrame:
+    """One row per doc_id and text, with its mark and the base of its word positions."""
+    rows = rows.withColumn("mark", mark("text")).dropDuplicates(["doc_id", "mark"])
+    before = Window.partitionBy("doc_id").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.coalesce(F.length("text"), F.lit(0)) + 1  # a text has at most as many words
+    bases = rows.select("doc_id", "mark", F.coalesce(F.sum(room.cast("long")).over(before), F.lit(0)).alias("base"))
+    return rows.join(bases, ["doc_id", "mark"])
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """doc_id and ``spans`` (word ranges, end exclusive) of the documents that lose words."""
+    """doc_id, mark and ``spans`` (word ranges, end exclusive) of the documents that lose words; see ``of_row``."""
 
     def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         phrases = Phrases(data, offsets, window)
@@ -172,10 +199,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     buckets = 1 + text_size(docs) // BUCKET_BYTES
     anchors = recurring_anchors(docs, find, buckets, within=False)
-    candidates = staged(docs.join(anchors, "doc_id"), "candidates")
-    phrases = confirm(candidates, buckets, window, "text")
-    spans = staged(locate(candidates.drop("anchors").join(phrases, "doc_id"), window, "text"), "spans")
-    release(anchors, candidates, phrases)
+    repeats = staged(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
+    columns = ["doc_id", "text", "anchors", "mark", "base"]
+    single = docs.join(anchors.join(repeats, "doc_id", "left_anti"), "doc_id")
+    rows = single.withColumn("mark", F.lit(None).cast("string")).withColumn("base", F.lit(0).cast("long")).select(*columns)
+    top, several = 0, None
+    if repeats.take(1):
+        every = staged(docs.join(anchors.join(repeats, "doc_id", "left_semi"), "doc_id"), "every")
+        several = staged(each_text_once(every).select(*columns), "several")
+        release(every)
+        top = several.agg(F.max(F.col("base") + F.length("text"))).first()[0] or 0
+        rows = rows.unionByName(several)
+    candidates = staged(rows, "candidates")
+    phrases = confirm(candidates, buckets, window, "text", np.int32 if top < 1 << 31 else np.int64)
+    shards = candidates.drop("anchors").join(phrases, "doc_id")
+    if several is not None:  # each text takes the phrases of its own positions
+        mine = F.filter("phrases", lambda p: (p["start"] >= F.col("base")) & (p["start"] <= F.col("base") + F.length("text")))
+        mine = F.transform(mine, lambda p: F.struct((p["start"] - F.col("base")).alias("start"), p["length"].alias("length")))
+        shards = shards.withColumn("phrases", mine).filter(F.size("phrases") > 0)
+        release(several)
+    spans = staged(locate(shards, window, "text"), "spans")
+    release(anchors, repeats, candidates, phrases)
     return spans
 
 
@@ -199,7 +243,7 @@ def remove_words(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
                 [*columns, pa.array(n_words, pa.int64()), pa.array(n_words - left, pa.int64())], [*kept, "n_words", "n_removed"]
             )
 
-    both = docs.select(*kept).join(spans.select("doc_id", "spans"), "doc_id", "left").select(*kept, "spans")
+    both = docs.select(*kept).alias("d").join(spans.alias("s"), of_row(text), "left").select(*[f"d.`{c}`" for c in kept], "s.spans")
     return both.mapInArrow(run, f"{fields}, n_words long, n_removed long")
 
 

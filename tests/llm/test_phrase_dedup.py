@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from crowdread.llm import phrase_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +56,24 @@ def test_rows_without_id_and_repeated_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrase_dedup.dedup(docs).collect() == []
+
+
+@pytest.mark.parametrize("slice_bytes", [2 << 20, 50])
+def test_repeated_rows_that_lose_words(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(phrase_dedup.bt.slices, "__defaults__", (slice_bytes,))
+    monkeypatch.setattr(phrase_dedup, "SHARD_BYTES", slice_bytes)
+    one, two, new = (" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    mixed = f"a {two} b"
+    rows = [(4, f"{one} {two}"), *[(9, one)] * 3, *[(9, mixed)] * 2, (9, f"c\n{one} {two}"), (9, new), (9, None), (12, new), (12, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in phrase_dedup.dedup(docs).collect())
+    want = [(4, 0, f"{one} {two}"), *[(9, 20, "")] * 3, *[(9, 20, "a b")] * 2, (9, 40, "c"), (9, 0, new), (9, 0, ""), (12, 20, ""), (12, 20, "")]
+    assert got == sorted(want)
+
+
+def test_pipeline_keeps_repeated_rows_once_each(spark):
+    phrase = " ".join(f"x{i}" for i in range(20))
+    rows = [(4, phrase), *[(9, f"a {phrase}")] * 3, (9, "two\nlines")]
+    docs = corpus_pipeline.documents(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string"))
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_phrases(spark, docs, "").collect())
+    assert got == [(4, phrase), *[(9, "a")] * 3, (9, "two\nlines")]
