@@ -21,6 +21,9 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All bytes but ASCII digits and letters and those of other characters.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,9 +84,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space) and the word offsets of the rows."""
-    space = SPACES[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ``breaks``, ASCII white space if not told) and the word offsets of the rows."""
+    space = breaks[data]
     first, last = ~space, ~space
     first[1:] &= space[:-1]
     last[:-1] &= space[1:]
