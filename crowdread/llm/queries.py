@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crowdread.llm import byte_bpe, licences, minhash, packing, phrase_dedup, pii, quality, quantised, rules, suffix_dedup
+from crowdread.llm import (
+    byte_bpe, decontaminate, importance, licences, minhash, packing, phrase_dedup, pii, prefix_trie, quality, quantised, rules,
+    suffix_dedup,
+)
+
+#: Conversations of op13 begin with turns of the conversation whose id is the next lower multiple of five.
+REBUILT_SHARED = "crc32(CAST(CAST(conv_id AS STRING) AS BINARY)) % 9"
+REBUILT_FROM = "conv_id - conv_id % 5"
+REBUILT_TURNS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +81,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return rows.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(convs, REBUILT_SHARED, REBUILT_FROM, REBUILT_TURNS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licences": op2_licences,
@@ -84,12 +111,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_importance": op11_importance,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 WORD_LISTS = r"""words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
 
+#: Contributions to a CRC-32 over GF(2): of byte b with d bytes behind it (z), and of the first register over n bytes (i).
+CRC_TABLES = """
+        crc_bits(k, b, z) AS (
+            SELECT 0, range::BIGINT, range::BIGINT FROM range(256)
+            UNION ALL SELECT k + 1, b, CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END FROM crc_bits WHERE k < 8),
+        crc_table AS MATERIALIZED (SELECT b, z FROM crc_bits WHERE k = 8),
+        crc_z(d, b, z) AS (
+            SELECT 0, b, z FROM crc_table
+            UNION ALL SELECT d + 1, c.b, xor(t.z, c.z >> 8) FROM crc_z c JOIN crc_table t ON t.b = c.z & 255 WHERE d < (SELECT max(n) FROM crc_sizes)),
+        crc_i(n, z) AS (
+            SELECT 0, 4294967295
+            UNION ALL SELECT n + 1, xor(t.z, c.z >> 8) FROM crc_i c JOIN crc_table t ON t.b = c.z & 255 WHERE n < (SELECT max(n) FROM crc_sizes))"""
+
+
+def crc_of(strings: str) -> str:
+    """SQL for (s, crc) of the distinct strings s of a table; its bytes are taken from the hexadecimal form."""
+    return f"""
+        crc_strings AS MATERIALIZED (SELECT DISTINCT s, hex(encode(s)) AS x FROM {strings}),
+        crc_sizes AS MATERIALIZED (SELECT DISTINCT len(x) // 2 AS n FROM crc_strings), {CRC_TABLES},
+        crc_bytes AS (
+            SELECT s, len(x) // 2 AS n, len(x) // 2 - 1 - p AS d, ('0x' || substr(x, 2 * p + 1, 2))::BIGINT AS b
+            FROM (SELECT s, x, unnest(range(len(x) // 2)) AS p FROM crc_strings)),
+        crcs AS MATERIALIZED (
+            SELECT s, xor(xor(bit_xor(crc_z.z), any_value(crc_i.z)), 4294967295) AS crc
+            FROM crc_bytes JOIN crc_z USING (d, b) JOIN crc_i USING (n) GROUP BY s)"""
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def plain_words(table: str, key: str) -> str:
+    """SQL for the words of letters and digits of every text."""
+    return rf"""SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {table}"""
+
+
 ORACLE: dict[str, str] = {
     "op3_quantised": """
         WITH RECURSIVE v AS (
@@ -136,4 +201,83 @@ ORACLE: dict[str, str] = {
             FROM single ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)""",
+    "op11_importance": f"""
+        WITH RECURSIVE sizes_of AS (SELECT unnest([1, 2, 3]) AS n),
+        doc_words AS MATERIALIZED ({plain_words("documents", "doc_id")}),
+        item_words AS MATERIALIZED ({plain_words("benchmark", "item_id")}),
+        doc_features AS MATERIALIZED (
+            SELECT doc_id, array_to_string(w[p : p + n - 1], ' ') AS s
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc_words, sizes_of)),
+        item_features AS MATERIALIZED (
+            SELECT array_to_string(w[p : p + n - 1], ' ') AS s
+            FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS p FROM item_words, sizes_of)),
+        features AS (SELECT s FROM doc_features UNION SELECT s FROM item_features), {crc_of("features")},
+        corpus AS (SELECT crc % 10000 AS bucket, count(*)::DOUBLE AS n FROM doc_features JOIN crcs USING (s) GROUP BY bucket),
+        target AS (SELECT crc % 10000 AS bucket, count(*)::DOUBLE AS n FROM item_features JOIN crcs USING (s) GROUP BY bucket),
+        totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM corpus) AS s_all, (SELECT coalesce(sum(n), 0) FROM target) AS t_all),
+        gains AS MATERIALIZED (
+            SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (s_all + 10000) / ((c.n + 1) * (t_all + 10000))))::BIGINT AS gain
+            FROM corpus c LEFT JOIN target t USING (bucket), totals),
+        weights AS (
+            SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight
+            FROM doc_features JOIN crcs USING (s) JOIN gains ON bucket = crc % 10000 GROUP BY doc_id),
+        scored AS MATERIALIZED (
+            SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM doc_words LEFT JOIN weights USING (doc_id)),
+        ranks AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)""",
+    "op12_decontaminate": f"""
+        WITH doc_words AS MATERIALIZED ({plain_words("documents", "doc_id")}),
+        item_words AS MATERIALIZED ({plain_words("benchmark", "item_id")}),
+        windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS s
+            FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM item_words WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        runs AS (
+            SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS s
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc_words, lengths)),
+        found AS MATERIALIZED (SELECT doc_id, p, n, item_id FROM runs JOIN windows USING (n, s)),
+        hits AS (
+            SELECT doc_id, count(DISTINCT i) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM (SELECT DISTINCT doc_id, p, n FROM found)) GROUP BY doc_id),
+        names AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            n_hit IS NOT NULL AS contaminated
+        FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op13_prefix_trie": f"""
+        WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM conversations), {crc_of("ids")},
+        convs AS MATERIALIZED (SELECT c, crc % 9 AS h FROM ids JOIN crcs USING (s)),
+        turns AS MATERIALIZED (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+            FROM conversations),
+        parts AS (
+            SELECT c, 0 AS part, k, role, text FROM convs JOIN turns ON conv_id = c - c % 5 WHERE k <= h
+            UNION ALL SELECT c, 1, k, role, text FROM convs JOIN turns ON conv_id = c WHERE k > h),
+        rebuilt AS (
+            SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, text, strlen(role) || ':' || strlen(text) || ':' || role || text AS t FROM parts),
+        prefixes AS MATERIALIZED (
+            SELECT c, d, strlen(text) AS size, sha256(string_agg(t, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node FROM rebuilt
+            UNION ALL SELECT c, 0, 0, '' FROM convs),
+        lengths AS (SELECT c, max(d) AS last FROM prefixes GROUP BY c),
+        nodes AS MATERIALIZED (
+            SELECT node, any_value(d) AS depth, min(p.c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE d = last), '') AS ends
+            FROM prefixes p JOIN lengths USING (c) GROUP BY node),
+        up AS MATERIALIZED (
+            SELECT DISTINCT b.node, a.node AS parent
+            FROM prefixes b JOIN prefixes a ON a.c = b.c AND a.d = b.d - 1),
+        children AS (SELECT parent AS node, count(*) AS n FROM up GROUP BY parent),
+        subtrees AS (
+            SELECT a.node AS top, sum(n.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+            FROM nodes n JOIN prefixes b ON b.node = n.node AND b.c = n.conv_id
+            JOIN prefixes a ON a.c = b.c AND a.d <= b.d LEFT JOIN children k ON k.node = n.node GROUP BY a.node)
+        SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, t.leaves AS n_leaves,
+            t.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN subtrees t ON t.top = n.node LEFT JOIN up USING (node) LEFT JOIN nodes m ON m.node = up.parent
+        LEFT JOIN children k ON k.node = n.node""",
 }
