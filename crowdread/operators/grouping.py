@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crowdread.session import staged
+
 SPREAD = 32
 CHUNK_BITS = 20
 
@@ -79,3 +81,28 @@ def number_rows(
         .drop("_chunk", "_first")
     )
 
+
+
+def number_in_order(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "ordinal"
+) -> DataFrame:
+    """Number the rows of each group from 0 in the order of columns of any kind.
+
+    Rows are dealt by ranges of keys and order and written once, so a hot group spreads over
+    ranges; each range counts from where the ranges before it end. Without keys all rows are
+    one group.
+    """
+    keys = list(keys)
+    dealt = staged(
+        rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    # One row per group and range.
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return (
+        dealt.withColumn("_in_range", within - 1).join(firsts, [*keys, "_range"])
+        .withColumn(out, F.col("_first") + F.col("_in_range"))
+        .drop("_range", "_in_range", "_first")
+    )

@@ -810,6 +810,9 @@ FROM documents"""
         "SELECT video_id, term, count(*) AS topic_frequency FROM terms GROUP BY video_id, term HAVING count(*) >= 2",
         *TOPIC_TERMS,
     )
+    facts = "count(*) AS row_count, 0 AS small_topics, true AS numbered, true AS by_size"
+    out["t3_topic_facts"] = raw(f"SELECT video_id, {facts} FROM parsed GROUP BY video_id", ("parsed", PARSED))
+    out["t3_topic_facts_vectors"] = f"SELECT label, {facts} FROM embeddings GROUP BY label"
     out["t4_topic_labels"] = raw("SELECT video_id, topic, label, words, count FROM topic_list", *TOPIC_LABELS)
     out["t5_topic_sizes"] = raw(
         "SELECT video_id, topic, count(*) AS count FROM topical GROUP BY video_id, topic", GIVEN_TOPICS

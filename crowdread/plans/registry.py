@@ -767,13 +767,39 @@ def t2_vocabulary(spark, sf):
 @query
 def t3_assign_topics(spark, sf):
     df = cleaning.parse_comments(raw_comments(spark, sf)).select("video_id", "comment_id", "clean_text")
-    return topics.assign_topics(df, 12, text="clean_text").select("video_id", "comment_id", "topic")
+    return topics.assign_topics(df, text="clean_text").select("video_id", "comment_id", "topic")
 
 
 @query
 def t3_assign_topics_vectors(spark, sf):
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return topics.assign_topics(vectors, 12, vectors="embedding").select("vec_id", "topic")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    out = topics.assign_topics(vectors, vectors="embedding", by=["label"], row="vec_id")
+    return out.select("vec_id", "label", "topic")
+
+
+def topic_facts(df: DataFrame, by: str) -> DataFrame:
+    """What must hold of any assignment: every row has a topic, none is too small, numbers go by size without gaps."""
+    sizes = df.groupBy(by, "topic").agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("topic") >= 0, F.struct("topic", "n"))))
+    by_group = sizes.groupBy(by).agg(F.sum("n").alias("row_count"), listed.alias("_t"))
+    numbers = F.transform("_t", lambda t: t["topic"])
+    falling = F.transform("_t", lambda t: -t["n"])
+    return by_group.select(
+        by, "row_count",
+        F.size(F.filter("_t", lambda t: t["n"] < topics.MIN_TOPIC_ROWS)).alias("small_topics"),
+        (numbers == F.transform("_t", lambda t, i: i)).alias("numbered"),
+        (falling == F.array_sort(falling)).alias("by_size"),
+    )
+
+
+@query
+def t3_topic_facts(spark, sf):
+    return topic_facts(t3_assign_topics(spark, sf), "video_id")
+
+
+@query
+def t3_topic_facts_vectors(spark, sf):
+    return topic_facts(t3_assign_topics_vectors(spark, sf), "label")
 
 
 @query

@@ -96,13 +96,13 @@ def video_report(
     )
 
 
-def full_report(comments: DataFrame, videos: DataFrame, topic_count: int = 12) -> DataFrame:
-    """The report with topics clustered over all comments.
+def full_report(comments: DataFrame, videos: DataFrame) -> DataFrame:
+    """The report with topics of each video's own comments.
 
     Clustering reads the comments many times, so the analysed rows are written once.
     """
     analysed = staged(analyse_comments(comments), "analysed")
     clustered = topics.assign_topics(
-        analysed.select("video_id", "comment_id", "working_text"), topic_count, text="working_text"
+        analysed.select("video_id", "comment_id", "working_text"), text="working_text"
     )
     return video_report(analysed, videos, topics.topics_per_video(clustered, "working_text"))
