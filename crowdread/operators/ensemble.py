@@ -39,8 +39,11 @@ def vote_conflicts(df: DataFrame) -> DataFrame:
 
 
 def apply_tiebreaks(df: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Outside labels (``comment_id``, ``emotion``) replace the winner of conflict rows, whatever they are."""
-    known = overrides.select("comment_id", F.col("emotion").alias("_override"))
+    """Outside labels (``comment_id``, ``emotion``) replace the winner of conflict rows, whatever they are.
+
+    Of several labels for a comment the least one counts.
+    """
+    known = overrides.groupBy("comment_id").agg(F.min("emotion").alias("_override"))
     won = F.col("dominant_emotion")
     settled = F.when(F.col("conflict"), F.coalesce("_override", won)).otherwise(won)
     return df.join(known, "comment_id", "left").withColumn("dominant_emotion", settled).drop("_override")
