@@ -563,6 +563,17 @@ FROM documents"""
         "WHERE CAST(substring(video_id, 4) AS INT) >= 10 OR parent_id IS NOT NULL "
         "OR video_id NOT IN (SELECT video_id FROM comments WHERE parent_id IS NOT NULL)"
     )
+    twice = (
+        "SELECT video_id, comment_id, like_count FROM comments WHERE comment_id % 2 = 0 "
+        "OR CAST(substring(video_id, 4) AS INT) % 3 <> 0 OR video_id NOT IN "
+        "(SELECT video_id FROM comments WHERE comment_id % 2 = 0)"
+    )
+    out["s7_compacted_comments"] = raw(f"SELECT *, false AS stale FROM ({twice}) t")
+    out["s9_stored_videos"] = raw(f"SELECT * FROM ({twice}) t WHERE video_id IN ('src1', 'src3', 'absent')")
+    out["s9_stored_videos_of_channel"] = raw(
+        f"SELECT * FROM ({twice}) t WHERE video_id IN (SELECT video_id FROM videos WHERE channel = 'channel0')",
+        ("videos", VIDEOS),
+    )
     out["s8_upsert_analyses"] = (
         f"SELECT *, '2024-05-01 12:00:00' AS created_at FROM ({LABELLED_VIDEOS}) n "
         f"UNION ALL SELECT *, '2024-01-01 00:00:00' FROM ({kept}) k"
@@ -750,6 +761,18 @@ FROM documents"""
            FROM (SELECT *, row_number() OVER (PARTITION BY video_id, intent ORDER BY comment_id) AS rk
                  FROM analysed) r GROUP BY video_id"""
     )
+    best = "SELECT video_id, string_agg(label, ', ' ORDER BY count DESC, topic) AS topics FROM (SELECT *, row_number() OVER " \
+        "(PARTITION BY video_id ORDER BY count DESC, topic) AS rk FROM topic_list) t WHERE rk <= {} AND video_id IN " \
+        "(SELECT video_id FROM topical GROUP BY video_id HAVING count(*) >= 10) GROUP BY video_id"
+    out["p4_report_facts_topics"] = full(
+        f"""SELECT a.video_id, any_value(v.title) AS title, coalesce(any_value(b.topics), '') AS topics, count(*) AS total
+            FROM analysed a JOIN videos v ON a.video_id = v.video_id LEFT JOIN ({best.format(6)}) b ON b.video_id = a.video_id
+            GROUP BY a.video_id""", videos, *TOPIC_LABELS
+    )
+    out["p5_content_gap_evidence_topics"] = full(
+        f"""SELECT a.video_id, count(*) AS total, coalesce(any_value(b.topics), '') AS topics
+            FROM analysed a LEFT JOIN ({best.format(8)}) b ON b.video_id = a.video_id GROUP BY a.video_id""", *TOPIC_LABELS
+    )
     names = {"approval": APPROVAL, "toxic": "count(*) FILTER (WHERE is_toxic)"}
     names |= {s: f"count(*) FILTER (WHERE sentiment = '{s}')" for s in SENTIMENTS}
     names |= {f"emotion_{e}": f"count(*) FILTER (WHERE dominant_emotion = '{e}')" for e in EMOTIONS}
@@ -881,14 +904,18 @@ FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c"
         "SELECT video_id, segment_label, count, avg_likes, round(100e0 * count / sum(count) OVER "
         f"(PARTITION BY video_id), 1) AS share_pct FROM ({SUMMARY}) s"
     )
-    out["r17_video_report"] = full(
+    whole = (
         f"""SELECT a.video_id, any_value(v.title) AS title, any_value(v.channel) AS channel, count(*) AS total,
                    {APPROVAL} AS approval_score, count(*) FILTER (WHERE is_toxic) AS toxic_count,
                    count(*) FILTER (WHERE is_sarcastic) AS sarcasm_count, {counts("sentiment", SENTIMENTS)},
                    {counts("dominant_emotion", EMOTIONS, "emotion_")}, {counts("intent", INTENTS, "intent_")},
-                   {FLAT_SUMMARY}
-            FROM analysed a JOIN videos v ON a.video_id = v.video_id GROUP BY a.video_id""", videos
+                   {FLAT_SUMMARY},
+                   {{more}}
+            FROM analysed a JOIN videos v ON a.video_id = v.video_id GROUP BY a.video_id"""
     )
+    out["r17_video_report"] = full(whole.replace(",\n                   {more}", ""), videos)
+    runs = "CASE WHEN CAST(substring(a.video_id, 4) AS INT) < 10 THEN 1 ELSE 2 END AS run, count(*) AS stored_comments"
+    out["r17_incremental_run"] = full(whole.replace("{more}", runs), videos)
 
     spelled = ("pos", "NEG", "neu", "LABEL_0", "label_1", "Label_2", "Positive", "other")
     full_names = ("positive", "negative", "neutral", "negative", "neutral", "positive", "positive", "other")

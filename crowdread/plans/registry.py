@@ -11,11 +11,11 @@ from crowdread.operators import (
     batches, cleaning, ensemble, labelling, language, likes, metrics, reports, segments, topics,
 )
 from crowdread.operators.terms import lowered, scanned
-from crowdread.plans import fixtures, video_report
+from crowdread.plans import fixtures, incremental, video_report
 from crowdread.plans.fixtures import pick, table
 from crowdread.schema import EMOTIONS, INTENTS, SEGMENTS, SENTIMENTS
 from crowdread.session import shared_dir, staged
-from crowdread.sources import dumps, exports, tables
+from crowdread.sources import dumps, exports, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +210,42 @@ def s7_replace_video_comments(spark, sf):
     return tables.stored_comments(spark, path)
 
 
+def stored_twice(spark: SparkSession, sf: str) -> str:
+    """Comments of all videos, those of one in three anew, compacted and cleared."""
+    path = shared_dir(spark, "comments")
+    slim = raw_comments(spark, sf).select("video_id", "comment_id", "like_count")
+    kept = store.Store(spark, path)
+    kept.save(slim, 1, order=["comment_id"])
+    kept.save(slim.filter((video_number() % 3 == 0) & (F.col("comment_id") % 2 == 0)), 2, order=["comment_id"])
+    kept.compact(3, order=["comment_id"])
+    kept.vacuum()
+    return path
+
+
+def video_number() -> Column:
+    return F.substring("video_id", 4, 9).cast("int")
+
+
+@query
+def s7_compacted_comments(spark, sf):
+    path = stored_twice(spark, sf)
+    rows = spark.read.parquet(f"{path}/rows").select("video_id", "comment_id", "like_count")
+    return rows.exceptAll(tables.stored_comments(spark, path)).withColumn("stale", F.lit(True)).unionByName(
+        tables.stored_comments(spark, path).withColumn("stale", F.lit(False))
+    )
+
+
+@query
+def s9_stored_videos(spark, sf):
+    return tables.stored_comments(spark, stored_twice(spark, sf), ["src1", "src3", "absent"])
+
+
+@query
+def s9_stored_videos_of_channel(spark, sf):
+    wanted = fixtures.videos(spark, sf).filter("channel = 'channel0'")
+    return tables.stored_comments(spark, stored_twice(spark, sf), wanted)
+
+
 @query
 def s8_upsert_analyses(spark, sf):
     old = document_videos(spark, sf).withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
@@ -632,6 +668,22 @@ def p5_content_gap_evidence(spark, sf):
     return batches.content_gap_evidence(stored(spark, sf, "video_id", "pos", "intent", "text"))
 
 
+def listed_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return topics.topics_per_video(given_topics(spark, sf), "text")
+
+
+@query
+def p4_report_facts_topics(spark, sf):
+    whole = video_report.video_report(analysed(spark, sf), fixtures.videos(spark, sf), listed_topics(spark, sf))
+    return batches.report_facts(whole).select("video_id", "title", "topics", "total")
+
+
+@query
+def p5_content_gap_evidence_topics(spark, sf):
+    rows = stored(spark, sf, "video_id", "pos", "intent", "text")
+    return batches.content_gap_evidence(rows, listed_topics(spark, sf)).select("video_id", "total", "topics")
+
+
 @query
 def p6_compare_videos(spark, sf):
     v = fixtures.videos(spark, sf)
@@ -939,6 +991,21 @@ def r17_full_report(spark, sf):
     return flat_report(df).join(df.select("video_id", F.size("topics").alias("topics")), "video_id")
 
 
+@query
+def r17_incremental_run(spark, sf):
+    """Three runs: some videos, all videos, all videos again; each report tells the run that made it."""
+    archive = incremental.Archive(spark, shared_dir(spark, "archive"))
+    comments, videos = staged(scored(spark, sf), "comments"), fixtures.videos(spark, sf).select("video_id", "title", "channel")
+    some = video_number() < 10
+    now = F.lit(CREATED_AT).cast("timestamp_ntz")
+    incremental.run(archive, 1, videos.filter(some), comments.filter(some), now, model=False)
+    incremental.run(archive, 2, videos, comments, now, model=False)
+    incremental.run(archive, 3, videos, comments, now, model=False)
+    made = archive.store("reports").keys().select("video_id", F.col("load_no").cast("int").alias("run"))
+    rows = archive.store("analysed").current().groupBy("video_id").agg(F.count("*").alias("stored_comments"))
+    return flat_report(archive.store("reports").current()).join(made, "video_id").join(rows, "video_id")
+
+
 # Classification metrics.
 
 
