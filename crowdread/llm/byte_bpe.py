@@ -163,6 +163,21 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tupl
     return starts, np.searchsorted(starts, offsets)
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word is found first, and which of them every word is.
+
+    Words of equal hashes are compared byte by byte; should two differ, another hash is taken.
+    """
+    sizes, seed = ends - starts, 0
+    while True:
+        hashes = bt.segment_hashes(data, starts, ends, seed)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        again = starts[first][inverse]
+        if (sizes == sizes[first][inverse]).all() and (data[bt.expand(starts, sizes)] == data[bt.expand(again, sizes)]).all():
+            return first, inverse
+        seed += 1
+
+
 class Encoder:
     """Ids of all texts of a slice. ``encode_words`` gives the ids of words that are not whole tokens."""
 
@@ -182,10 +197,8 @@ class Encoder:
         """All ids and the id offsets of the rows."""
         starts, rows = pre_tokens(data, offsets, self.kinds)
         ends = np.append(starts[1:], len(data))
-        hashes = bt.segment_hashes(data, starts, ends)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        assert (ends - starts == (ends - starts)[first][inverse]).all(), "two words with one hash"
-        key = self.table.keys_of(hashes[first], data, starts[first], ends[first])
+        first, inverse = distinct_words(data, starts, ends)
+        key = self.table.keys_of(bt.segment_hashes(data, starts[first], ends[first]), data, starts[first], ends[first])
         missing = np.flatnonzero(key < 0)
         raw = data.tobytes()
         found = self.words([raw[starts[i] : ends[i]] for i in first[missing].tolist()])

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Segments of this many bytes or more are hashed one by one.
+LONG = 32
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 SPACES = np.zeros(256, bool)
@@ -54,11 +57,28 @@ def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every byte segment, from running sums of the whole array."""
-    up, down = powers_for(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values(seed)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of every byte segment.
+
+    Short segments are hashed by a polynomial modulo 2**64, from running sums of the whole array. The difference of two long
+    ones can hold so many factors of two that they collide whatever the seed is, so these are hashed one by one.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    sizes = ends - starts
+    short = sizes < LONG
+    if short.any():
+        up, down = powers_for(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_values(seed)[data] * up[: len(data)], out=sums[1:])
+        if short.all():
+            return mix((sums[ends] - sums[starts]) * down[starts])
+        a, b = starts[short], ends[short]
+        out[short] = mix((sums[b] - sums[a]) * down[a])
+    long = np.flatnonzero(~short)
+    if len(long):
+        view, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        found = [blake2b(view[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.frombuffer(b"".join(found), np.uint64)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
