@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from crowdread.llm import bytetext as bt
 
 LETTER, NUMBER, SPACE = 1, 2, 3
-KEPT_WORDS = 300_000
+#: Words of a generation that a worker remembers.
+KEPT_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -178,20 +181,47 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         seed += 1
 
 
+class Known:
+    """Ids of words that have been encoded, in two generations: words that come again stay, the rest is dropped.
+
+    A Python worker keeps them from task to task, so that a word is encoded about once per worker.
+    """
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def ids(self, words: list[bytes], encode_words: Callable[[list[bytes]], list[list[int]]]) -> list[bytes]:
+        """32-bit ids of distinct words."""
+        new, old, missing = self.new, self.old, []
+        for word in words:
+            if word not in new:
+                ids = old.get(word)
+                if ids is None:
+                    missing.append(word)
+                else:
+                    new[word] = ids
+        for word, ids in zip(missing, encode_words(missing)):
+            new[word] = np.array(ids, np.int32).tobytes()
+        out = [new[word] for word in words]
+        if len(new) > KEPT_WORDS:
+            self.old, self.new = new, {}
+        return out
+
+
+@lru_cache(maxsize=2)
+def known_words(vocabulary: str) -> Known:
+    """The words of this worker; ``vocabulary`` is a digest of the ranks or merges that encode them."""
+    return Known()
+
+
 class Encoder:
     """Ids of all texts of a slice. ``encode_words`` gives the ids of words that are not whole tokens."""
 
-    def __init__(self, table: PerfectHash, ids: np.ndarray, encode_words: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(
+        self, table: PerfectHash, ids: np.ndarray, encode_words: Callable[[list[bytes]], list[list[int]]], known: Known | None = None
+    ):
         self.table, self.ids, self.encode_words = table, ids, encode_words
-        self.kinds, self.known = character_kinds(), {}
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for word, ids in zip(new, self.encode_words(new)):
-            self.known[word] = np.array(ids, np.int32).tobytes()
-        return [self.known[w] for w in words]
+        self.kinds, self.known = character_kinds(), known or Known()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the id offsets of the rows."""
@@ -201,7 +231,7 @@ class Encoder:
         key = self.table.keys_of(bt.segment_hashes(data, starts[first], ends[first]), data, starts[first], ends[first])
         missing = np.flatnonzero(key < 0)
         raw = data.tobytes()
-        found = self.words([raw[starts[i] : ends[i]] for i in first[missing].tolist()])
+        found = self.known.ids([raw[starts[i] : ends[i]] for i in first[missing].tolist()], self.encode_words)
         sizes = np.ones(len(first), np.int64)
         sizes[missing] = [len(x) // 4 for x in found]
         at = np.cumsum(sizes) - sizes
@@ -218,12 +248,13 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
     keys = list(ranks)
+    vocabulary = sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     shared = spark.sparkContext.broadcast((PerfectHash(keys), np.array([ranks[k] for k in keys], np.int32), ranks))
     key_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids_of, ranks = shared.value
-        encoder = Encoder(table, ids_of, lambda words: [merge(w, ranks) for w in words])
+        encoder = Encoder(table, ids_of, lambda words: [merge(w, ranks) for w in words], known_words(vocabulary))
         key_of = np.zeros(int(ids_of.max(initial=0)) + 1, np.int64)
         key_of[ids_of] = np.arange(len(ids_of))
         for batch in bt.slices(batches, text):

@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crowdread.llm import bytetext as bt
-from crowdread.llm.byte_bpe import Encoder, PerfectHash
+from crowdread.llm.byte_bpe import Encoder, PerfectHash, known_words
 
 WINDOW = 2048
 GROUP_DOCS = 20_000
@@ -75,6 +77,14 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
+@lru_cache(maxsize=2)
+def loaded(text: str):
+    """The tokenizer of a JSON text, read once per worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(text)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of the full windows and the rest of each document."""
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -83,15 +93,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer = loaded(shared.value)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         def encode(words: list[bytes]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-        encoder = Encoder(PerfectHash([b"\0"]), np.array([tokenizer.encode("\0").ids[0]]), encode)
+        known = known_words(sha256(shared.value.encode()).hexdigest())
+        encoder = Encoder(PerfectHash([b"\0"]), np.array([tokenizer.encode("\0").ids[0]]), encode, known)
         for batch in bt.slices(batches, text):
             column = batch.column(text)
             data, offsets = bt.text_bytes(column)
