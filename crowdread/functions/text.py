@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
-import json
 from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-from crowdread.functions import lexicon
+from crowdread.functions.emoji import emoji_to_words
 
 # White space as Unicode counts it, which is more than Java's ``\s`` or a plain ``trim``.
 WHITE_CODES = (
@@ -30,19 +29,6 @@ def has_more_words(text: Column, n: int) -> Column:
     return text.rlike(f"^[{WHITE}]*+(?:[^{WHITE}]++[{WHITE}]++){{{n}}}[^{WHITE}]")
 
 
-def emoji_to_words(text: Column) -> Column:
-    """Each known emoji becomes its name with a blank on both sides."""
-    names = [("\ufe0f", "")]
-    names += [(sign, f" {name} ") for sign, name in lexicon.EMOJI_NAMES.items()]
-    names += [(f" {sign}", f"_{name} ") for sign, name in lexicon.SKIN_TONES.items()]
-    table = F.from_json(
-        F.lit(json.dumps([{"sign": s, "name": n} for s, n in names])),
-        "array<struct<sign: string, name: string>>",
-    )
-    named = F.aggregate(table, text, lambda t, e: F.replace(t, e["sign"], e["name"]))
-    return F.when(has_emoji(text), named).otherwise(text)
-
-
 def clean_text(text: Column) -> Column:
     """Links dropped, white space collapsed and trimmed, emoji named, in that order.
 

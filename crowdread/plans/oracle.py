@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from crowdread.functions import lexicon
-from crowdread.plans.fixtures import FIRST_LABELS, PHRASES, SECOND_LABELS, TITLES
+from crowdread.plans.fixtures import FIRST_LABELS, PHRASES, SECOND_LABELS, SEQUENCES, TITLES
 from crowdread.schema import EMOTIONS, INTENTS, SEGMENTS, SENTIMENTS
 
 WS = (
@@ -606,6 +606,8 @@ FROM documents"""
     )
     out["c3_clean_text"] = raw(f"SELECT comment_id, {cleaned('text')} AS clean_text FROM comments")
     out["c4_emoji_to_words"] = raw(f"SELECT comment_id, {emoji_words('text')} AS named FROM comments")
+    called = pick(list(SEQUENCES.values()), f"doc_id % {len(SEQUENCES)}")
+    out["c4_emoji_sequences"] = f"SELECT doc_id, lang || {called} || source AS named FROM documents"
     out["c5_parse_comments"] = raw("SELECT comment_id, video_id, text, clean_text FROM parsed", ("parsed", PARSED))
     out["c6_thread_split"] = raw(
         "SELECT comment_id, video_id, parent_id, CASE WHEN is_reply THEN 'reply' ELSE 'top' END AS side FROM comments"

@@ -321,6 +321,13 @@ def c4_emoji_to_words(spark, sf):
     return raw_comments(spark, sf).select("comment_id", texts.emoji_to_words(F.col("text")).alias("named"))
 
 
+@query
+def c4_emoji_sequences(spark, sf):
+    sign = pick(tuple(fixtures.SEQUENCES), F.col("doc_id") % len(fixtures.SEQUENCES))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("lang", sign, F.col("source")).alias("text"))
+    return docs.select("doc_id", texts.emoji_to_words(F.col("text")).alias("named"))
+
+
 @query
 def c5_parse_comments(spark, sf):
     return cleaning.parse_comments(raw_comments(spark, sf)).select("comment_id", "video_id", "text", "clean_text")
