@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdread.functions.labels import Terms
 from crowdread.functions.lexicon import LANGUAGE_WORDS
+from crowdread.operators.language_model import UNKNOWN, LanguageModel, language_of
 from crowdread.operators.terms import lowered
 
 MULTILINGUAL = ("hinglish", "hi", "ur")
@@ -23,25 +24,38 @@ def known_words(words: Column, known: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known)))
 
 
-def detect_language(df: DataFrame, text: str, terms: Terms | None = None) -> DataFrame:
-    """``language``: hinglish by its markers, else the language with most function words."""
+def detect_language(
+    df: DataFrame, text: str, terms: Terms | None = None, model: LanguageModel | None = None
+) -> DataFrame:
+    """``language``: hinglish by its markers, else what the model says.
+
+    Where the model knows no language, a script that only one language uses tells it. Without a model the language
+    with most function words is taken.
+    """
     df, terms = lowered(df, text, terms)
     df = df.withColumn("_hinglish", hinglish_flag(terms))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    df = df.withColumn("_words", F.when(~F.col("_hinglish"), words))
-    hits = {lang: known_words(F.col("_words"), ws) for lang, ws in LANGUAGE_WORDS.items()}
-    hits |= {lang: F.regexp_count(F.col(text), F.lit(p)) for lang, p in SCRIPTS.items()}
+    scripts = {lang: F.regexp_count(F.col(text), F.lit(p)) for lang, p in SCRIPTS.items()}
+    if model is None:
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+        df = df.withColumn("_words", F.when(~F.col("_hinglish"), words))
+        hits = {lang: known_words(F.col("_words"), ws) for lang, ws in LANGUAGE_WORDS.items()}
+        counted = most_frequent(hits | scripts)
+    else:
+        df = df.withColumn("_model", language_of(F.when(~F.col("_hinglish"), F.col(text)), model))
+        counted = F.when(F.col("_model") == UNKNOWN, most_frequent(scripts)).otherwise(F.col("_model"))
+    df = df.withColumn("_best", F.when(~F.col("_hinglish"), counted))
+    language = F.when(F.col("_hinglish"), F.lit("hinglish")).otherwise(F.coalesce("_best", F.lit(UNKNOWN)))
+    return df.withColumn("language", language).drop("_hinglish", "_words", "_model", "_best", f"_{text}_low")
+
+
+def most_frequent(hits: dict[str, Column]) -> Column:
+    """The key with the highest count, the first one on a tie; null where all are 0."""
     ranked = [
         F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(lang).alias("lang"))
         for i, (lang, n) in enumerate(hits.items())
     ]
-    df = df.withColumn("_best", F.when(~F.col("_hinglish"), F.array_max(F.array(*ranked))))
-    language = (
-        F.when(F.col("_hinglish"), F.lit("hinglish"))
-        .when(F.col("_best.n") > 0, F.col("_best.lang"))
-        .otherwise(F.lit("unknown"))
-    )
-    return df.withColumn("language", language).drop("_hinglish", "_words", "_best", f"_{text}_low")
+    best = F.array_max(F.array(*ranked))
+    return F.when(best["n"] > 0, best["lang"])
 
 
 def three_way() -> Column:

