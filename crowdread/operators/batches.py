@@ -31,7 +31,8 @@ def pack_batches(
     """One row per batch: its lines ``i. [lang] "text"``, size and language mix."""
     comments = comments.withColumn("_cut", F.substring(F.coalesce("text", F.lit("")), 1, cut))
     kept = ["video_id", "pos", "_cut", *(["language"] if language else [])]
-    rows = number_batches(comments.select(*kept), size)
+    # Numbering reads its rows several times, so the cut texts are written once.
+    rows = number_batches(staged(comments.select(*kept), "cut-texts"), size)
     parts = [F.col("item").cast("string"), F.lit(". ")]
     if language:
         parts += [F.lit("["), F.coalesce("language", F.lit("en")), F.lit("] ")]
@@ -46,13 +47,8 @@ def pack_batches(
 
 
 def pack_conflicts(df: DataFrame, size: int = BATCH) -> DataFrame:
-    """Batches of the rows whose votes conflict, in the shorter form for tie-breaks.
-
-    Numbering reads the rows twice, so the votes are written once.
-    """
-    slim = df.select("video_id", "pos", "conflict", F.substring("text", 1, TIEBREAK_CUT).alias("text"))
-    conflicts = staged(slim, "votes").filter("conflict")
-    return pack_batches(conflicts, size, TIEBREAK_CUT, language=False)
+    """Batches of the rows whose votes conflict, in the shorter form for tie-breaks."""
+    return pack_batches(df.filter("conflict"), size, TIEBREAK_CUT, language=False)
 
 
 def reply_array(reply: Column) -> Column:

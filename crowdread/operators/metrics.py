@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdread.functions.labels import emotion_group
 from crowdread.functions.votes import eval_vote_keywords, weighted_vote
 from crowdread.operators.terms import lowered
 
+BINS = 4096
+
 
 def accuracy(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     right = F.coalesce((F.col(y) == F.col(p)).cast("double"), F.lit(0.0))
@@ -100,3 +102,44 @@ def evaluation_vote(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     words = eval_vote_keywords(terms)
     vote = weighted_vote(F.col(model), words, F.col("sentiment"))
     return df.withColumn("weighted_emotion", vote).drop(f"_{text}_low")
+
+
+def score_bins(df: DataFrame, truth: str, score: str, bins: int = BINS, keys: Sequence[str] = ()) -> DataFrame:
+    """``bin``, ``positives`` and ``negatives``: scores from 0 to 1 in equal bins.
+
+    At most ``bins`` rows per key come out of it, whatever goes in, and bins of parts add up.
+    """
+    place = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    marked = F.col(truth).cast("int") == 1
+    return (
+        df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
+        .groupBy(*keys, place.alias("bin"))
+        .agg(F.count_if(marked).alias("positives"), F.count_if(~marked).alias("negatives"))
+    )
+
+
+def rank_sum_auc(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``auc``: the chance that a positive scores above a negative, half of it within a bin; null without both."""
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("negatives").over(below), F.lit(0))
+    counted = bins.withColumn("_won", F.col("positives") * (before + F.col("negatives") / 2))
+    pairs = F.sum("positives") * F.sum("negatives")
+    return counted.groupBy(*keys).agg(F.try_divide(F.sum("_won"), pairs).alias("auc"))
+
+
+def best_cut(bins: DataFrame, count: int = BINS, keys: Sequence[str] = ()) -> DataFrame:
+    """``cut``, ``precision``, ``recall`` and ``f1`` of the cut between bins with the best F1, the highest one on a tie."""
+    above = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*keys)
+    hit, taken = F.sum("positives").over(above), F.sum(F.col("positives") + F.col("negatives")).over(above)
+    rated = bins.withColumns({"_hit": hit, "_taken": taken, "_all": F.sum("positives").over(every)})
+    rated = rated.withColumns(
+        {
+            "cut": F.col("bin") / count,
+            "precision": F.col("_hit") / F.col("_taken"),
+            "recall": F.coalesce(F.try_divide("_hit", "_all"), F.lit(0.0)),
+            "f1": F.try_divide(2 * F.col("_hit"), F.col("_taken") + F.col("_all")),
+        }
+    )
+    found = F.max_by(F.struct("cut", "precision", "recall", "f1"), F.struct("f1", "bin")).alias("_best")
+    return rated.groupBy(*keys).agg(found).select(*keys, "_best.*")

