@@ -4,9 +4,11 @@ A document's set has its distinct word shingles, hashed once to 64 bits; its ske
 hashes. Documents with one set are one class, found by a digest, and one row stands for it from there on.
 Inverted lists of retained values (neighbouring pairs of the least ``RANKS`` values, so that a common passage does not put
 all its documents in one list) give candidates. First each list is compared with its least
-document only, which joins groups of copies in linear work; then only documents of a list that lie in
-different components are compared. A candidate passes if the union of both sketches shares enough
-values, and is a link if the full sets confirm it.
+document only, which joins groups of copies in linear work: a candidate passes if the union of both sketches shares enough
+values, and is a link if the full sets confirm it. Then documents of a list that lie in different components are compared within
+the list, three times over what is left of it: by the least ``FEW`` values, by whole sketches, by full sets. Each pair
+is compared in one list alone, that of the least key the two share, and no pairs are written: the first two
+steps tell which documents of a list stay, the last one tells the links that join components.
 
 Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches and
 compared exactly, however large their union. For larger sets, a pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
@@ -34,7 +36,14 @@ KEPT = 192
 FEW = 48
 RANKS = 12
 BLOCK = 1024
-SHORT = 24
+#: Shingles of the full sets of a block, and columns of a product.
+ELEMENTS = 2_000_000
+COLUMNS = 4096
+#: Pairs per document from which a group's full sets are compared all at once.
+DENSE = 4
+HUB_PARTS = 64
+#: Fixed values of xxHash64.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,29 +129,10 @@ def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percen
     return enough & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def shared_values(sketches: np.ndarray) -> np.ndarray:
-    """How many values each two sketches of a block share."""
-    values, inverse, counts = np.unique(sketches, return_inverse=True, return_counts=True)
-    common = (counts > 1) & (values < np.iinfo(np.int32).max)
-    column = np.where(common, np.cumsum(common) - 1, -1)[inverse].reshape(sketches.shape)
-    total = np.zeros((len(sketches), len(sketches)), np.float32)
-    for at in range(0, int(common.sum()), 4096):
-        row, place = np.nonzero((column >= at) & (column < at + 4096))
-        holds = np.zeros((len(sketches), 4096), np.float32)
-        holds[row, column[row, place] - at] = 1
-        total += holds @ holds.T
-    return total.astype(np.int64)
-
-
 def star_pairs(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): each list's least document with the others, where their sketches pass."""
     centers = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last")
     pairs = lists.join(centers.select("key", "a"), "key").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    return passing(pairs, reps, percent)
-
-
-def passing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches pass."""
     first = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("least").alias("least_a"))
     second = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("least").alias("least_b"))
 
@@ -155,58 +145,124 @@ def passing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of one list but of different components, where their sketches pass.
+def full_sets(needed: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """doc_id and ``members``, the whole set, of the documents that are needed."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bt.slices(batches, text):
+            values, bounds = shingle_sets(*bt.text_bytes(batch.column(text)), width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bt.lists(values.astype(np.int64), bounds)], ["doc_id", "members"])
+
+    # The same plan at every size: ids may be many, so they are not broadcast.
+    texts = docs.select("doc_id", text).join(needed.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return staged(texts.mapInArrow(sets, "doc_id long, members array<long>"), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, ascending, are as similar as is asked."""
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def hub_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. The set of a is sent once per part of its partners, not once per pair."""
+    members = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width, text)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)))
+    hubs = dealt.select("a", "part", F.col("a").alias("doc_id")).distinct().withColumn("hub", F.lit(0))
+    rows = dealt.select("a", "part", F.col("b").alias("doc_id"), F.lit(1).alias("hub")).unionByName(hubs)
 
-    Only the FEW least values of a sketch travel with the lists; what they let pass is held against the whole
-    sketches. A list of more than BLOCK documents is cut into blocks, and each pair of blocks is a group of its own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, None
+        for batch in batches:
+            a, ids, kind = (np.asarray(batch.column(c)) for c in ("a", "doc_id", "hub"))
+            flat, ends = np.asarray(batch.column("members").flatten()), list_ends(batch.column("members"))
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                mine = flat[ends[i] : ends[i + 1]]
+                if kind[i] == 0:
+                    hub, hub_set = a[i], mine.copy()
+                else:
+                    assert hub == a[i]
+                    good[i] = similar(mine, hub_set, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(ids[good])], ["a", "b"])
+
+    sent = rows.join(members, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "hub")
+    links = staged(sent.mapInArrow(run, "a long, b long"), "links")
+    release(members)
+    return links
+
+
+def list_ends(column: pa.Array) -> np.ndarray:
+    return np.append(0, np.cumsum(np.asarray(pc.list_value_length(column), np.int64)))
+
+
+def hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxHash64 of one 64-bit value, as Spark's function of that name computes it."""
+    one, two, three, four, five = (np.uint64(p) for p in PRIMES)
+    turned = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    out = (seed + five + np.uint64(8)) ^ (turned(x * two, 31) * one)
+    out = turned(out, 27) * one + four
+    out = (out ^ (out >> np.uint64(33))) * two
+    out = (out ^ (out >> np.uint64(29))) * three
+    return out ^ (out >> np.uint64(32))
+
+
+def list_keys(low: pa.Array, size_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the lists of each row, and the rows; the same as the column of keys."""
+    flat, ends = np.asarray(low.flatten()).view(np.uint64), list_ends(low)
+    row = np.repeat(np.arange(len(low)), np.diff(ends))
+    keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for gap in (1, 2):
+        at = np.flatnonzero(row[: len(row) - gap] == row[gap:]) if len(row) > gap else np.zeros(0, np.int64)
+        both = hash_long(flat[at + gap], hash_long(flat[at], np.full(len(at), 42, np.uint64)))
+        for more in (0, 1):
+            kind = (size_class[row[at]] + more).astype(np.int64).view(np.uint64)
+            keys.append(hash_long(kind, both).view(np.int64))
+            rows.append(row[at])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+class Group:
+    """Documents of one list, or of two blocks of one, and which pairs of them are to be compared here.
+
+    A pair is compared if its components differ, if the list is the one of the least key among those that both are in,
+    and, between two blocks, if it has a document of each.
     """
-    named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_lists = named.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    ).filter("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    sketch = F.slice("least", 1, FEW).alias("least")
-    rows = named.join(open_lists, "key").join(reps.select("doc_id", "n", sketch), "doc_id")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"),
-        (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("inner"),
-        "doc_id", "component", "n", "least",
-    )
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        lists, ids, comps, n = (np.asarray(rows.column(c)) for c in ("list", "doc_id", "component", "n"))
-        right, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
-        least = padded(rows.column("least").combine_chunks(), FEW)
-        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
-            """Of rows that share a list, the pairs to go on."""
-            open_ = (comps[a] != comps[b]) & (inner[a] | (right[a] != right[b]))
-            a, b = a[open_], b[open_]
-            for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000], b[at : at + 20_000]
-                ok = alike(least[x], least[y], n[x], n[y], percent)
-                found.append(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]]))
-
-        firsts = bt.group_firsts(lists)
-        sizes = np.diff(np.append(firsts, len(lists)))
-        short = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
-        for gap in range(1, SHORT):  # all short lists at once: each row and the row that follows it by ``gap``
-            a = short[short + gap < len(lists)]
-            a = a[lists[a] == lists[a + gap]]
-            keep(a, a + gap)
-        for start, size in zip(firsts[sizes > SHORT], sizes[sizes > SHORT]):
-            part = n[start : start + size]
-            shared = shared_values(least[start : start + size])
-            whole = np.maximum(part[:, None], part) <= FEW
-            union = part[:, None] + part - shared
-            good = np.where(whole, 100 * (shared + 1) >= percent * union, shared >= least_shared(FEW, percent))
-            a, b = np.nonzero(np.triu(good, 1))
-            keep(a + start, b + start)
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    def __init__(self, rows: pa.Table):
+        self.ids, self.components, self.n = (np.asarray(rows.column(c)) for c in ("doc_id", "component", "n"))
+        self.right, self.inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
+        keys, owner = list_keys(rows.column("low").combine_chunks(), np.asarray(rows.column("size_class")))
+        below = keys < rows.column("key")[0].as_py()
+        open_ = self.components[:, None] != self.components
+        if not self.inner[0]:
+            open_ &= self.right[:, None] != self.right
+        self.open = np.triu(open_, 1)
+        if self.open.any():
+            self.open &= shared_values(keys[below], owner[below], len(self.ids)) == 0
+
+
+def shared_values(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n rows share; a value stands at most once in a row."""
+    kinds, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    common = counts > 1
+    place = (np.cumsum(common) - 1)[inverse]
+    keep = common[inverse]
+    place, rows = place[keep], rows[keep]
+    order = np.argsort(place, kind="stable")
+    place, rows = place[order], rows[order]
+    total = np.zeros((n, n), np.float32)
+    for at in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(place, (at, at + COLUMNS))
+        holds = np.zeros((n, min(COLUMNS, int(common.sum()) - at)), np.float32)
+        holds[rows[a:b], place[a:b] - at] = 1
+        total += holds @ holds.T
+    return total.astype(np.int64)
+
+
+def by_list(compare):
+    """Calls ``compare`` with the rows of each list, which come one after another in the batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -214,46 +270,104 @@ def cross_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, percent: i
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if not rows.num_rows:
                 continue
-            lists = np.asarray(rows.column("list"))
-            cut = int(bt.group_firsts(lists)[-1])
-            if cut:
-                yield compare(rows.slice(0, cut))
-            rest = rows.slice(cut)
-        if rest is not None:
-            yield compare(rest)
+            firsts = bt.group_firsts(np.asarray(rows.column("list")))
+            yield from (out for a, b in zip(firsts, firsts[1:]) if (out := compare(rows.slice(a, b - a))) is not None)
+            rest = rows.slice(int(firsts[-1]))
+        if rest is not None and (out := compare(rest)) is not None:
+            yield out
 
-    pairs = rows.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
-    return passing(pairs, reps, percent)
+    return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
-    """The pairs whose full sets have this similarity."""
+def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of lists (key, doc_id) that hold several components, dealt so that a task gets a list, or two blocks of one, at once.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, text):
-            values, bounds = shingle_sets(*bt.text_bytes(batch.column(text)), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bt.lists(values.astype(np.int64), bounds)], ["doc_id", "members"])
+    ``values`` has doc_id, n, low, size_class and ``held``, what is compared. A list of more than BLOCK documents, or whose
+    sets have more than ELEMENTS shingles, is cut into blocks, and each pair of blocks is a group of its own.
+    """
+    named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = named.join(values, "doc_id")
+    open_lists = named.join(values.select("doc_id", "n"), "doc_id").groupBy("key").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("size"), F.sum("n").alias("weight")
+    ).filter("first < last")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / ELEMENTS)).cast("int")
+    rows = rows.join(open_lists.select("key", blocks.alias("blocks")), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "key",
+        (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("inner"),
+        "doc_id", "component", "n", "low", "size_class", "held",
+    )
+    return rows.repartition("list").sortWithinPartitions("list")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [batch.column(c) for c in ("members_a", "members_b")]
-            flat = [np.asarray(s.flatten()) for s in sides]
-            ends = [np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(s), np.int64))]) for s in sides]
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends))
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # The same plan at every size: ids may be many, so they are not broadcast.
-    texts = docs.select("doc_id", text).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = staged(texts.mapInArrow(sets, "doc_id long, members array<long>"), "sets")
-    first = members.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a"))
-    second = members.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b"))
-    links = staged(pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long"), "links")
+def open_members(lists: DataFrame, labels: DataFrame, reps: DataFrame, kept: int, percent: int) -> DataFrame:
+    """The rows (key, doc_id) of lists that stay: documents with a partner in the list whose first ``kept`` values may be similar enough.
+
+    No pair leaves a task, only the documents that have one, so what is written grows with the lists and not with their pairs.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        group = Group(rows)
+        if not group.open.any():
+            return None
+        least, n = rows.column("held").combine_chunks(), group.n
+        owner = np.repeat(np.arange(len(n)), np.asarray(pc.list_value_length(least), np.int64))
+        shared = shared_values(np.asarray(least.flatten()), owner, len(n))
+        whole = np.maximum(n[:, None], n) <= kept
+        good = np.where(whole, 100 * (shared + 1) >= percent * (n[:, None] + n - shared), shared >= least_shared(kept, percent))
+        good &= group.open & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+        stay = good.any(axis=0) | good.any(axis=1)
+        if not stay.any():
+            return None
+        keys = np.full(int(stay.sum()), rows.column("key")[0].as_py(), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(group.ids[stay])], ["key", "doc_id"])
+
+    values = reps.select("doc_id", "n", "low", "size_class", F.slice("least", 1, kept).alias("held"))
+    found = in_groups(lists, labels, values).mapInArrow(by_list(compare), "key long, doc_id long")
+    return staged(found.distinct(), "open")
+
+
+def group_links(lists: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """Links (a, b) within lists, by the full sets: of each group as many as join its components, no more."""
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        group = Group(rows)
+        a, b = np.nonzero(group.open)
+        if not len(a):
+            return None
+        held, n = rows.column("held").combine_chunks(), group.n
+        flat, ends = np.asarray(held.flatten()), list_ends(held)
+        if len(a) > DENSE * len(n):
+            shared = shared_values(flat, np.repeat(np.arange(len(n)), np.diff(ends)), len(n))
+            good = 100 * shared[a, b] >= percent * (n[a] + n[b] - shared[a, b])
+            a, b = a[good], b[good]
+            tested = True
+        else:
+            tested = False
+        head = {c: c for c in group.components.tolist()}
+
+        def find(c: int) -> int:
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        links = []
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = find(int(group.components[i])), find(int(group.components[j]))
+            if x != y and (tested or similar(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], percent)):
+                head[x] = y
+                links.append((int(group.ids[i]), int(group.ids[j])))
+        if not links:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    members = full_sets(lists.select("doc_id"), docs, width, text)
+    values = members.withColumnRenamed("members", "held").join(reps.select("doc_id", "n", "low", "size_class"), "doc_id")
+    found = in_groups(lists, labels, values).mapInArrow(by_list(compare), "a long, b long")
+    links = staged(found, "links")
     release(members)
     return links
 
@@ -266,26 +380,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text: st
     digest = ["digest_a", "digest_b", "n"]
     classes = staged(sets.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = staged(reps.select("doc_id", "n", "low", "least"), "representatives")
-    # Sets of which one more or less shingle is too much have links only within their class.
-    smallest = -(-percent // (100 - percent))
     # Sets that differ more in size cannot be similar: a list holds two neighbouring classes of sizes (a little wider
     # than the similarity asks, for rounding), and a document is in both lists that hold its class.
-    step = 1.001 * math.log(100 / percent)
-    size_class = F.floor(F.log("n") / step)
+    size_class = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).alias("size_class")
+    reps = staged(reps.select("doc_id", "n", "low", "least", size_class), "representatives")
+    # Sets of which one more or less shingle is too much have links only within their class.
+    smallest = -(-percent // (100 - percent))
     keys = F.flatten(F.transform("low", lambda v, i: F.flatten(F.transform(
-        F.slice("low", i + 2, 2), lambda w: F.array(F.xxhash64(v, w, size_class), F.xxhash64(v, w, size_class + 1))
+        F.slice("low", i + 2, 2),
+        lambda w: F.array(F.xxhash64(v, w, F.col("size_class")), F.xxhash64(v, w, F.col("size_class") + 1)),
     ))))
-    reps_in_lists = reps.filter(F.col("n") >= smallest)
-    lists = staged(reps_in_lists.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")), "lists")
+    lists = staged(reps.filter(F.col("n") >= smallest).select("doc_id", F.explode(F.array_distinct(keys)).alias("key")), "lists")
     pairs = staged(star_pairs(lists, reps, percent), "stars")
-    links = confirmed(pairs, docs, width, percent, text)
+    links = hub_links(pairs, docs, width, percent, text)
     first = staged(components(links), "components")
-    more = staged(cross_pairs(lists, reps, first.select(F.col("node").alias("doc_id"), "component"), percent), "pairs")
+    labels = first.select(F.col("node").alias("doc_id"), "component")
+    few = open_members(lists, labels, reps, FEW, percent)
     release(lists, pairs)
-    links = links.union(confirmed(more, docs, width, percent, text))
+    left = open_members(few, labels, reps, KEPT, percent)
+    links = links.union(group_links(left, labels, reps, docs, width, percent, text))
     final = staged(components(links), "components").select(F.col("node").alias("rep"), "component")
-    release(more, first, reps)
+    release(few, left, first, reps)
     rows = known.select("doc_id", *digest).join(classes, digest, "left").join(final, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crowdread.llm import minhash
@@ -68,9 +69,11 @@ def texts():
     return list(enumerate([*docs, " ".join(word() for _ in range(30_000))]))
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, elements, dense", [(1024, 2_000_000, 4), (7, 2_000_000, 0), (1024, 3000, 0)])
+def test_equals_brute_force(spark, monkeypatch, block, elements, dense):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ELEMENTS", elements)
+    monkeypatch.setattr(minhash, "DENSE", dense)
     rows = texts()
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
@@ -121,3 +124,63 @@ def test_whole_sketches_pass_by_their_exact_similarity(kept, a, b, shared):
             sketches[0, :a], sketches[1, :b] = np.sort(values[:a]), np.sort(values[a - shared + less :])
             n = np.array([[a], [b]])
             assert minhash.alike(sketches[:1], sketches[1:], *n, 85) == [good]
+
+
+def test_list_keys_are_those_of_the_column(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [([rng.randrange(1 << 63) for _ in range(rng.randint(0, 5))], rng.randint(-3, 90)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "low array<long>, kind long")
+    key = F.flatten(F.transform("low", lambda v, i: F.flatten(F.transform(
+        F.slice("low", i + 2, 2), lambda w: F.array(F.xxhash64(v, w, F.col("kind")), F.xxhash64(v, w, F.col("kind") + 1))))))
+    want = [sorted(r.k) for r in df.select(key.alias("k")).collect()]
+    keys, owner = minhash.list_keys(pa.array([r[0] for r in rows], pa.list_(pa.int64())), np.array([r[1] for r in rows]))
+    assert [sorted(keys[owner == i].tolist()) for i in range(len(rows))] == want
+
+
+def near_but_apart(n, words=300, own=8):
+    """Texts that each have some words of their own in random places, so that no two are similar enough."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for i, at in enumerate(rng.sample(range(words), own)):
+            text[at] = f"own{k}x{i}"
+        out.append((k, " ".join(text)))
+    return out
+
+
+def test_what_is_written_grows_with_documents_and_not_with_pairs(spark, monkeypatch):
+    written = {}
+    keep = minhash.staged
+
+    def counted(df, name):
+        out = keep(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "staged", counted)
+    sizes = []
+    for n in (100, 400):
+        written.clear()
+        rows = near_but_apart(n)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+        assert {r.doc_id: r.component_id for r in got} == {k: v[1] for k, v in brute(rows).items()}
+        sizes.append(sum(v for k, v in written.items() if k in ("open", "links", "stars")))
+    assert sizes[1] <= 6 * max(sizes[0], 100)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_of_drawn_pairs_at_the_limit(spark, percent):
+    """Sets too large for their sketches, just similar enough: every pair is found."""
+    rng, rows = random.Random(percent), []
+    for k in range(150):
+        size = rng.randint(250, 700)
+        shared = -(-2 * size * percent // (100 + percent))
+        common = [f"c{k}x{i}" for i in range(shared)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(common + [f"{side}{k}x{i}" for i in range(size - shared)])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
