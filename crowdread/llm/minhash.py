@@ -279,19 +279,21 @@ def by_list(compare):
     return run
 
 
-def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame, whole: bool) -> DataFrame:
     """The rows of lists (key, doc_id) that hold several components, dealt so that a task gets a list, or two blocks of one, at once.
 
     ``values`` has doc_id, n, low, size_class and ``held``, what is compared. A list of more than BLOCK documents, or whose
-    sets have more than ELEMENTS shingles, is cut into blocks, and each pair of blocks is a group of its own.
+    ``whole`` sets have more than ELEMENTS shingles, is cut into blocks, and each pair of blocks is a group of its own.
     """
     named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = named.join(values, "doc_id")
-    open_lists = named.join(values.select("doc_id", "n"), "doc_id").groupBy("key").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("size"), F.sum("n").alias("weight")
-    ).filter("first < last")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / ELEMENTS)).cast("int")
-    rows = rows.join(open_lists.select("key", blocks.alias("blocks")), "key")
+    open_lists = named.groupBy("key").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    ).filter("first < last").select("key", "blocks")
+    rows = named.join(open_lists, "key")
+    if whole:
+        sizes = rows.join(values.select("doc_id", "n"), "doc_id").groupBy("key").agg(F.sum("n").alias("weight"))
+        rows = rows.join(sizes, "key").withColumn("blocks", F.greatest("blocks", F.ceil(F.col("weight") / ELEMENTS).cast("int")))
+    rows = rows.join(values, "doc_id")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
@@ -325,7 +327,7 @@ def open_members(lists: DataFrame, labels: DataFrame, reps: DataFrame, kept: int
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(group.ids[stay])], ["key", "doc_id"])
 
     values = reps.select("doc_id", "n", "low", "size_class", F.slice("least", 1, kept).alias("held"))
-    found = in_groups(lists, labels, values).mapInArrow(by_list(compare), "key long, doc_id long")
+    found = in_groups(lists, labels, values, False).mapInArrow(by_list(compare), "key long, doc_id long")
     return staged(found.distinct(), "open")
 
 
@@ -366,7 +368,7 @@ def group_links(lists: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
 
     members = full_sets(lists.select("doc_id"), docs, width, text)
     values = members.withColumnRenamed("members", "held").join(reps.select("doc_id", "n", "low", "size_class"), "doc_id")
-    found = in_groups(lists, labels, values).mapInArrow(by_list(compare), "a long, b long")
+    found = in_groups(lists, labels, values, True).mapInArrow(by_list(compare), "a long, b long")
     links = staged(found, "links")
     release(members)
     return links
