@@ -1,17 +1,19 @@
 """Substring dedup: words of phrases that an earlier document has are removed.
 
 A window of ``WINDOW`` consecutive words is removed where the same words start in a document with a
-smaller id. Recurring anchors name the documents that can share a window at all; their windows
-are confirmed per bucket of equal anchors; the confirmed phrases of each shard of documents are compiled into
-an Aho-Corasick automaton over word numbers, and the shard's documents are streamed through it to find
-every occurrence.
+smaller id. Recurring anchors name the documents that can share a window at all; these are dealt into shards by a hash
+of their id. The first document of a shard that has a window asks, in the bucket of equal anchors, whether a document
+with a smaller id has it anywhere; windows that are confirmed so, or that a second document of the shard has, are the recurring phrases. Each
+shard compiles its phrases into an Aho-Corasick automaton over word numbers, and all its documents are streamed
+through it to find every occurrence; no one else tells where the other documents hold them.
 
 Null texts have no words. Texts with fewer words than a window lose nothing. Windows never cross
 documents and are judged on the input. A row without doc_id is kept whole and judges nothing. Rows with
 one doc_id count as one document: they never judge each other, and each loses the words of its own text that a smaller id has,
 so rows that repeat a text lose the same words. Result columns replace input columns of the same name.
 
-Each text of an id is searched once. Word positions of an id's further texts begin at ``base``, behind those of the texts before.
+Each text of an id is searched once. Word positions of an id's further texts begin at ``base``, behind those of the texts before;
+the number of texts of one id is not bounded, and they meet in one window.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ BUCKET_BYTES = 16 << 20
 SHARD_BYTES = 1 << 20
 DIGEST_SEED = 1
 ALPHABET = 509
+NO_SPANS = pa.table(
+    {"doc_id": pa.array([], pa.int64()), "mark": pa.array([], pa.string()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+)
+#: Texts and anchors are both dealt by shard, which is enough to join them by shard and document.
+WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 class Phrases:
@@ -58,8 +65,9 @@ class Phrases:
 
 
 def confirm(candidates: DataFrame, buckets: int, window: int, text: str, place_kind: type = np.int32) -> DataFrame:
-    """doc_id and ``phrases``: runs (start, length) of windows that a document with a smaller id has too.
+    """doc_id, start, length and ``own``: runs of windows that recur, at their first occurrence in a shard.
 
+    ``own`` says that a document with a smaller id has them, so they go here too; the others recur within the shard.
     Starts count from the base of the row, and ``place_kind`` holds the largest.
     """
 
@@ -70,19 +78,18 @@ def confirm(candidates: DataFrame, buckets: int, window: int, text: str, place_k
             at = np.flatnonzero(np.isin(phrases.least, recurring) & (phrases.least > 0))
             first, second = phrases.digests(at) if len(at) else (np.zeros(0, np.uint64),) * 2
             rows = phrases.rows_of(at)
-            ids, base = np.asarray(batch.column("doc_id"))[rows], np.asarray(batch.column("base"))[rows]
+            ids, base, shard = (np.asarray(batch.column(c))[rows] for c in ("doc_id", "base", "shard"))
             place, anchor = at - phrases.bounds[rows] + base, phrases.least[at]
-            order = np.lexsort((place, ids, second, first))
-            first, second, ids, base, place, anchor = (x[order] for x in (first, second, ids, base, place, anchor))
-            heads = bt.group_firsts(first, second)
-            later = ids > np.repeat(ids[heads], np.diff(np.append(heads, len(ids))))
-            asks = bt.group_firsts(first, second, ids, base)
-            asks = asks[~later[asks]]  # of the least id, each of its texts
+            order = np.lexsort((place, ids, shard, second, first))
+            first, second, shard, ids, place, anchor = (x[order] for x in (first, second, shard, ids, place, anchor))
+            heads = bt.group_firsts(first, second, shard)
+            ends = np.append(heads[1:], len(ids)) - 1
             numbers, payloads = deal(
-                (anchor[asks] % np.uint64(buckets)).astype(np.int64),
-                [first[asks], second[asks], ids[asks], place[asks].astype(place_kind)],
+                (anchor[heads] % np.uint64(buckets)).astype(np.int64),
+                [first[heads], second[heads], ids[heads], place[heads].astype(place_kind)],
             )
-            found, at, size = run_rows(ids[later], place[later])
+            again = heads[ids[ends] != ids[heads]]
+            found, at, size = run_rows(ids[again], place[again])
             a, b = len(numbers), len(found)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -106,9 +113,9 @@ def confirm(candidates: DataFrame, buckets: int, window: int, text: str, place_k
         candidates.mapInArrow(send, "bucket int, payload binary, doc_id long, start long, length long"), "phrases"
     )
     answered = sent.filter("bucket >= 0").select("bucket", "payload").groupBy("bucket")
-    known = sent.filter("bucket < 0").select("doc_id", "start", "length")
-    found = answered.applyInArrow(answer, "doc_id long, start long, length long").unionByName(known)
-    out = staged(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("phrases")), "confirmed")
+    earlier = answered.applyInArrow(answer, "doc_id long, start long, length long").withColumn("own", F.lit(True))
+    within = sent.filter("bucket < 0").select("doc_id", "start", "length", F.lit(False).alias("own"))
+    out = staged(earlier.unionByName(within), "confirmed")
     release(sent)
     return out
 
@@ -120,45 +127,55 @@ def run_rows(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids[firsts], places[firsts], sizes
 
 
-def locate(shards: DataFrame, window: int, text: str) -> DataFrame:
-    """doc_id, mark and ``spans``: the word ranges that are covered by a confirmed phrase."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, text, SHARD_BYTES):
-            data, offsets = bt.text_bytes(batch.column(text))
-            starts, ends, bounds = bt.word_spans(data, offsets)
-            words = bt.segment_hashes(data, starts, ends)
-            plain, exact = letters(words), bt.gram_hashes(words, window).tolist()
-            ids = batch.column("doc_id").to_pylist()
-            # A phrase confirmed for a document is removed there and in all documents with larger ids.
-            since: dict[int, int] = {}
-            automaton = ahocorasick.Automaton()
-            for row, (key, phrases) in enumerate(zip(ids, batch.column("phrases").to_pylist())):
-                for phrase in phrases:
-                    begin = int(bounds[row]) + phrase["start"]
-                    for at in range(begin, begin + phrase["length"]):
-                        known = since.get(exact[at])
-                        if known is None:
-                            automaton.add_word(plain[at : at + window], True)
-                        if known is None or known > key:
-                            since[exact[at]] = key
-            automaton.make_automaton()
-            spans = []
-            for row, key in enumerate(ids):
-                a, b = int(bounds[row]), int(bounds[row + 1])
-                heads = (a + end + 1 - window for end, _ in automaton.iter(plain[a:b]))
-                tails = np.array([at - a + window - 1 for at in heads if since.get(exact[at], key + 1) <= key], np.int64)
-                change = np.zeros(b - a + 1, np.int64)
-                np.add.at(change, tails - window + 1, 1)
-                np.add.at(change, tails + 1, -1)
-                edges = np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "mark", "spans"],
-            )
-
-    return shards.mapInArrow(run, "doc_id long, mark string, spans array<struct<start:int,end:int>>")
+def locate(candidates: DataFrame, phrases: DataFrame, shards: int, window: int, text: str) -> DataFrame:
+    """doc_id, mark and ``spans``: the word ranges that are covered by a phrase of the document's shard."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows or not found.num_rows:
+            return NO_SPANS
+        docs = docs.combine_chunks()
+        data, offsets = bt.text_bytes(docs.column(text))
+        starts, ends, bounds = bt.word_spans(data, offsets)
+        words = bt.segment_hashes(data, starts, ends)
+        plain, exact = letters(words), bt.gram_hashes(words, window).tolist()
+        ids, bases = docs.column("doc_id").to_pylist(), docs.column("base").to_pylist()
+        rows_of: dict[int, list[tuple[int, int]]] = {}
+        for row, (key, base) in enumerate(zip(ids, bases)):
+            rows_of.setdefault(key, []).append((base, row))
+        # A phrase goes from all documents with at least this id.
+        since: dict[int, int] = {}
+        automaton = ahocorasick.Automaton()
+        for phrase in found.to_pylist():
+            base, row = max(x for x in rows_of[phrase["doc_id"]] if x[0] <= phrase["start"])
+            begin = int(bounds[row]) + phrase["start"] - base
+            from_id = phrase["doc_id"] + (0 if phrase["own"] else 1)
+            for at in range(begin, begin + phrase["length"]):
+                known = since.get(exact[at])
+                if known is None:
+                    automaton.add_word(plain[at : at + window], True)
+                if known is None or known > from_id:
+                    since[exact[at]] = from_id
+        automaton.make_automaton()
+        spans = []
+        for row, key in enumerate(ids):
+            a, b = int(bounds[row]), int(bounds[row + 1])
+            heads = (a + end + 1 - window for end, _ in automaton.iter(plain[a:b]))
+            tails = np.array([at - a + window - 1 for at in heads if since.get(exact[at], key + 1) <= key], np.int64)
+            change = np.zeros(b - a + 1, np.int64)
+            np.add.at(change, tails - window + 1, 1)
+            np.add.at(change, tails + 1, -1)
+            edges = np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8))
+            spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0))])
+        out = pa.table([docs.column("doc_id"), docs.column("mark"), pa.array(spans, NO_SPANS.schema.field("spans").type)], NO_SPANS.schema)
+        return out.filter(pa.array([len(s) > 0 for s in spans], pa.bool_()))
+
+    texts = candidates.select("shard", "doc_id", "mark", "base", text).groupBy("shard")
+    found = phrases.withColumn("shard", shard_of(shards)).groupBy("shard")
+    return texts.cogroup(found).applyInArrow(run, "doc_id long, mark string, spans array<struct<start:int,end:int>>")
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
 
 
 def letters(words: np.ndarray) -> str:
@@ -197,29 +214,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
         return phrases.grams[at], phrases.rows_of(at)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    buckets = 1 + text_size(docs) // BUCKET_BYTES
+    size = text_size(docs)
+    buckets, shards = 1 + size // BUCKET_BYTES, 1 + size // SHARD_BYTES
     anchors = recurring_anchors(docs, find, buckets, within=False)
     repeats = staged(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
-    columns = ["doc_id", "text", "anchors", "mark", "base"]
-    single = docs.join(anchors.join(repeats, "doc_id", "left_anti"), "doc_id")
-    rows = single.withColumn("mark", F.lit(None).cast("string")).withColumn("base", F.lit(0).cast("long")).select(*columns)
+    columns = ["shard", "doc_id", "text", "anchors", "mark", "base"]
+    dealt = docs.filter("doc_id IS NOT NULL").withColumn("shard", shard_of(shards)).repartition("shard")
+    once = anchors.join(repeats, "doc_id", "left_anti").withColumn("shard", shard_of(shards)).repartition("shard")
+    rows = dealt.join(once, ["shard", "doc_id"]).withColumn("mark", F.lit(None).cast("string")).withColumn("base", F.lit(0).cast("long"))
+    rows = rows.select(*columns)
     top, several = 0, None
     if repeats.take(1):
         every = staged(docs.join(anchors.join(repeats, "doc_id", "left_semi"), "doc_id"), "every")
-        several = staged(each_text_once(every).select(*columns), "several")
+        several = staged(each_text_once(every).withColumn("shard", shard_of(shards)).select(*columns), "several")
         release(every)
         top = several.agg(F.max(F.col("base") + F.length("text"))).first()[0] or 0
-        rows = rows.unionByName(several)
-    candidates = staged(rows, "candidates")
+        rows = rows.unionByName(several).repartition("shard")
+    spark = docs.sparkSession
+    before = spark.conf.get(WHOLE_KEYS)
+    spark.conf.set(WHOLE_KEYS, "false")
+    try:
+        candidates = staged(rows.sortWithinPartitions("shard"), "candidates")
+    finally:
+        spark.conf.set(WHOLE_KEYS, before)
     phrases = confirm(candidates, buckets, window, "text", np.int32 if top < 1 << 31 else np.int64)
-    shards = candidates.drop("anchors").join(phrases, "doc_id")
-    if several is not None:  # each text takes the phrases of its own positions
-        mine = F.filter("phrases", lambda p: (p["start"] >= F.col("base")) & (p["start"] <= F.col("base") + F.length("text")))
-        mine = F.transform(mine, lambda p: F.struct((p["start"] - F.col("base")).alias("start"), p["length"].alias("length")))
-        shards = shards.withColumn("phrases", mine).filter(F.size("phrases") > 0)
-        release(several)
-    spans = staged(locate(shards, window, "text"), "spans")
-    release(anchors, repeats, candidates, phrases)
+    spans = staged(locate(candidates, phrases, shards, window, "text"), "spans")
+    release(anchors, repeats, candidates, phrases, *([several] if several is not None else []))
     return spans
 
 

@@ -77,3 +77,26 @@ def test_pipeline_keeps_repeated_rows_once_each(spark):
     docs = corpus_pipeline.documents(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string"))
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_phrases(spark, docs, "").collect())
     assert got == [(4, phrase), *[(9, "a")] * 3, (9, "two\nlines")]
+
+
+def test_occurrences_come_from_the_automaton(spark, monkeypatch):
+    """Within a shard only the first document of a phrase asks, so without the search the others keep it."""
+    phrase = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, f"own{k} {phrase} tail{k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.n_removed for r in phrase_dedup.dedup(docs).collect()}
+    assert whole == {k: 30 if k else 0 for k, _ in rows}
+
+
+    asked = []
+    confirm = phrase_dedup.confirm
+
+    def kept(*args, **options):
+        out = confirm(*args, **options)
+        asked.extend((r.doc_id, r.own) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(phrase_dedup, "confirm", kept)
+    phrase_dedup.dedup(docs).collect()
+    assert asked == [(0, False)]  # all are in one shard: one occurrence is confirmed, nineteen are found
+    assert {r.doc_id: r.n_removed for r in phrase_dedup.dedup(docs).collect()} == whole
