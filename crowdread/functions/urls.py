@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 VIDEO_ID = "([A-Za-z0-9_-]{11})"
-# Tried in this order: short link, query parameter, path.
+# Address forms, tried in this order: short link, query parameter, path. Fixed values.
 ID_PATTERNS = (
     rf"youtu\.be/{VIDEO_ID}",
     rf"[?&]v={VIDEO_ID}",

@@ -12,17 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PHRASES = (
     "thank you sir great explanation",
     "why is the sound so low?",
-    "please add subtitles to this great series",
-    "worst video waste of time",
+    "great lessons, could you add captions please",
+    "total waste of time, the worst i have seen today",
     "this is so sad",
     "wow mind blown",
     "i am scared of exams",
-    "bawaal video bhai, right?",
+    "kya mast gaana hai bhai, bawaal, right?",
     "no one explains like this, hats off",
     "getting error in import, please help me",
     "yeah right, clearly the best",
     "clickbait fake lies",
-    "i appreciate how you broke down how it works",
+    "thanks, i like how calmly each step is shown",
     "see http://x.example.com/a?b=1 and www.example.org now, please explain",
     "   spaced    text  ",
     "ok",

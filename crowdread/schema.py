@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Label domains. Fixed values.
 SENTIMENTS = ("positive", "negative", "neutral")
 EMOTIONS = ("joy", "anger", "sadness", "surprise", "fear", "disgust", "neutral")
 INTENTS = ("praise", "complaint", "question", "suggestion", "general")
 
-# Emotions that may stand beside a sentiment; neutral allows all.
+# Emotions that may stand beside a sentiment; neutral allows all. Fixed values.
 VALID_EMOTIONS = {
     "positive": ("joy", "surprise", "neutral"),
     "negative": ("anger", "sadness", "fear", "disgust", "neutral"),
@@ -60,7 +61,7 @@ DUMP = T.StructType(
     ]
 )
 
-# Defaults set on merge for labels that did not arrive.
+# Defaults set on merge for labels that did not arrive. Fixed values.
 LABEL_DEFAULTS = {
     "sentiment": "neutral",
     "positive_score": 0.0,
@@ -74,6 +75,7 @@ LABEL_DEFAULTS = {
     "like_count": 0,
 }
 
+# Columns of an export, in their order. Fixed values.
 EXPORT_COLUMNS = (
     "text", "sentiment", "dominant_emotion", "intent", "is_toxic", "is_sarcastic",
     "like_count", "quality_score", "segment_label", "language",
