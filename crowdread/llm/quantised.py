@@ -1,21 +1,24 @@
 """Near-duplicate vectors of one label by product quantisation.
 
 Unit vectors go to the inverted list of their nearest coarse centre; their residuals are coded by one of
-256 centres in each subspace. Centres are fitted on a bounded sample (``SAMPLE`` vectors). Two unit vectors with the cosine limit
+256 centres in each subspace. Vectors of each length have a quantiser of their own: as many lists as the square root of their
+number, ``LISTS`` at least and ``MOST_LISTS`` at most, fitted on a sample of ``SAMPLE`` vectors a list. Two unit vectors with the cosine limit
 lie within a radius r of each other, which makes the probes sufficient: a vector x probes each list c
 whose border with its own list c0 is within r, (|x-c|^2 - |x-c0|^2) / (2 |c-c0|) <= r, so no partner
 can lie in a list that is not probed. Asymmetric distances come from lookup tables of x against the
 codes; a partner y with coding error e has a table distance of at most r + e, so what the tables drop
 cannot be a partner either. The exact cosine in double precision decides.
 
-Equal vectors of a label are one class with a count. Lists are compared block by block, at most ``BLOCK``
-members against ``BLOCK`` probes in a task, and a task sends link counts and a spanning set of links, not
-all pairs. Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
-components, and vectors without label or id, link with nothing. Repeated rows of an id count as one vector.
+Equal vectors of a label are one class with a count. Lists are compared block by block, at most about ``BLOCK``
+members against ``SIDE`` probes in a task, and a task sends link counts and a spanning set of links, not
+all pairs. Vectors that are null, zero, or hold null or non-finite
+components, and vectors without label or id, link with nothing; vectors of different lengths never link. Repeated rows of an id count
+as one vector; of an id with several, the least label and vector in their order count, for all its rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from crowdread.llm.components import components
 from crowdread.llm.staging import release, staged
 
-SAMPLE = 4096
-LISTS = 32
+SAMPLE = 128
+LISTS, MOST_LISTS = 32, 1024
 PARTS = 8
 CODES = 256
-BLOCK = 1024
+BLOCK, SIDE = 1024, 8192
 SLACK = 1e-6
 
 
@@ -177,7 +180,7 @@ def links_of(classes: DataFrame, quantiser: Quantiser, limit: float) -> DataFram
     keys = ["label", "list"]
     sizes = placed.groupBy(*keys).agg(
         F.ceil(F.count(F.when(F.col("member"), 1)) / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.count(F.when(~F.col("member"), 1)) / BLOCK).cast("int").alias("sides"),
+        F.ceil(F.count(F.when(~F.col("member"), 1)) / SIDE).cast("int").alias("sides"),
     )
     rows = placed.join(sizes, keys)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
@@ -190,27 +193,32 @@ def links_of(classes: DataFrame, quantiser: Quantiser, limit: float) -> DataFram
     return out
 
 
-def near_duplicates(vectors: DataFrame, limit: float = 0.98, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = 0.98, lists: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable, itself included) and kept.
 
-    ``sample`` bounds the vectors that the centres are fitted on; every vector is indexed and probed.
+    ``sample`` times the number of lists bounds the vectors that centres are fitted on; every vector is indexed and probed.
+    ``lists`` sets their number instead of the number of vectors. Each length of vectors is a pass of its own.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"), "label")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(vector) > 0")
-    usable = usable.filter(F.forall("vector", finite) & F.exists("vector", lambda v: v != 0)).dropDuplicates(["vec_id"])
+    usable = usable.filter(F.forall("vector", finite) & F.exists("vector", lambda v: v != 0))
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("v")).select("vec_id", "v.label", "v.vector")
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"))
     classes = staged(classes, "classes")
-    picked = classes.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample).collect()
-    if not picked:
+    lengths = classes.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    widths = [len(r.vector) for r in picked]
-    width = max(set(widths), key=widths.count)
-    quantiser = Quantiser(units(np.array([r.vector for r in picked if len(r.vector) == width])), lists)
-    found = links_of(classes.filter(F.size("vector") == width), quantiser, limit)
+    found = None
+    for width, n in lengths:
+        mine = classes.filter(F.size("vector") == width)
+        count = lists or min(MOST_LISTS, max(LISTS, math.isqrt(n)))
+        picked = mine.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample * count).collect()
+        links = links_of(mine, Quantiser(units(np.array([r.vector for r in picked])), count), limit)
+        found = links if found is None else found.unionByName(links)
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "component")
-    of_class = classes.filter(F.size("vector") == width).join(counts, "id", "left").join(roots, "id", "left")
+    of_class = classes.join(counts, "id", "left").join(roots, "id", "left")
     of_class = staged(
         of_class.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "id").alias("component")),
         "links",

@@ -22,10 +22,10 @@ def brute(rows):
     keys = [r[0] for r in rows]
     good = {}
     for k, v, label in rows:
-        if v and len(v) == 16 and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
             u = np.array(v) / np.abs(v).max()
             good[k] = (label, u / np.sqrt((u * u).sum()))
-    links = [(a, b) for a in good for b in good if a != b and good[a][0] == good[b][0] and good[a][1] @ good[b][1] >= 0.98]
+    links = [(a, b) for a in good for b in good if a != b and good[a][0] == good[b][0] and len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] >= 0.98]
     comp = roots(keys, links)
     n = dict.fromkeys(keys, 0)
     for a, _ in links:
@@ -36,7 +36,12 @@ def brute(rows):
 @pytest.mark.parametrize("block, lists", [(1024, 32), (20, 5)])
 def test_equals_brute_force(spark, monkeypatch, block, lists):
     monkeypatch.setattr(quantised, "BLOCK", block)
+    monkeypatch.setattr(quantised, "SIDE", 2 * block)
+    rng = np.random.default_rng(8)
     rows = rows_of()
+    for i in range(700, 760):  # other lengths, some with partners of their own length
+        width = int(rng.integers(3, 6))
+        rows.append((i, (np.ones(width) + 0.1 * rng.normal(size=width)).tolist(), int(rng.integers(0, 2))))
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, n_links int").repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in quantised.near_duplicates(df, lists=lists).collect()}
     assert got == brute(rows)
@@ -46,3 +51,10 @@ def test_empty_and_unusable(spark):
     df = spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in quantised.near_duplicates(df).collect()] == [(1, 0, 1, True)]
     assert quantised.near_duplicates(df.filter("false")).collect() == []
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in quantised.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
