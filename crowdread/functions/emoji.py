@@ -21,6 +21,8 @@ from crowdread.functions import lexicon
 
 LETTER_A, TONES = 0x1F1E6, (0x1F3FB, 0x1F3FF)
 SELECTOR, JOINER, KEYCAP, BLACK_FLAG = 0xFE0F, 0x200D, 0x20E3, 0x1F3F4
+#: Ranges that hold all signs, the keycap too.
+WIDE = r"\x{a9}\x{ae}\x{2030}-\x{214f}\x{2190}-\x{33ff}\x{1f000}-\x{1ffff}"
 #: Flags of tags that are in use, by their letters. Fixed values.
 TAG_FLAGS = {"gbeng": "England", "gbsct": "Scotland", "gbwls": "Wales"}
 
@@ -56,15 +58,16 @@ def ranges(codes: list[int]) -> str:
 
 
 @cache
-def patterns() -> tuple[str, str, str]:
-    """Java patterns: any start of a sequence, one sequence, a sequence (group 1) or plain text."""
+def patterns() -> tuple[str, str]:
+    """Java patterns: what a text with a sequence holds at least, and one sequence."""
     signs = ranges(sorted(sign_names()))
     letters = rf"\x{{{LETTER_A:x}}}-\x{{{LETTER_A + 25:x}}}"
     sign = rf"[{signs}](?:\x{{{SELECTOR:x}}}|[\x{{{TONES[0]:x}}}-\x{{{TONES[1]:x}}}])?"
     tags = rf"\x{{{BLACK_FLAG:x}}}[\x{{e0020}}-\x{{e007e}}]+\x{{e007f}}"
     keycap = rf"[0-9#*]\x{{{SELECTOR:x}}}?\x{{{KEYCAP:x}}}"
-    sequence = rf"{tags}|{keycap}|[{letters}]{{2}}|{sign}(?:\x{{{JOINER:x}}}{sign})*"
-    return rf"[{signs}{letters}\x{{{KEYCAP:x}}}]", sequence, rf"({sequence})|[^{signs}{letters}0-9#*]+|[\s\S]"
+    # A look at a few wide ranges spares other text the search through all signs.
+    sequence = rf"{keycap}|(?=[{WIDE}])(?:{tags}|[{letters}]{{2}}|{sign}(?:\x{{{JOINER:x}}}{sign})*)"
+    return rf"[{WIDE}]", sequence
 
 
 def literal(values: list, kind: str) -> Column:
@@ -101,16 +104,17 @@ def sequence_name(sequence: Column) -> Column:
 
 def emoji_to_words(text: Column) -> Column:
     """Each sign or sequence of signs becomes its name with a blank on both sides."""
-    start, _, token = patterns()
-    every = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    sequences = F.regexp_extract_all(text, F.lit(token), F.lit(1))
+    start, sequence = patterns()
+    # What stands before each sequence, and behind the last one.
+    between = F.split(text, sequence, -1)
+    sequences = F.regexp_extract_all(text, F.lit(sequence), F.lit(0))
     blank = F.lit(" ")
 
-    def named(plain: Column, sequence: Column) -> Column:
-        name = sequence_name(sequence)
-        return F.when(sequence == "", plain).otherwise(F.coalesce(F.concat(blank, name, blank), plain))
+    def named(plain: Column, signs: Column) -> Column:
+        name = sequence_name(signs)
+        return F.concat(plain, F.when(signs.isNull(), F.lit("")).otherwise(F.coalesce(F.concat(blank, name, blank), signs)))
 
-    words = F.array_join(F.zip_with(every, sequences, named), "")
+    words = F.array_join(F.zip_with(between, sequences, named), "")
     # Plain ASCII text, told by its length in bytes, is not searched.
     found = (F.octet_length(text) != F.length(text)) & text.rlike(start)
     return F.when(found, words).otherwise(text)

@@ -29,9 +29,10 @@ def top_per_group(
 
 
 def order_inputs(df: DataFrame, keys: Sequence[str]) -> list[Column]:
-    """Plain columns that differ between rows of a group."""
-    plain = ("string", "bigint", "int", "double", "boolean")
-    return [F.col(c) for c, t in df.dtypes if t in plain and c not in keys]
+    """Plain columns that differ between rows of a group: numbers, so that no text is hashed for its salt, or else strings."""
+    numbers = ("bigint", "int", "double", "boolean")
+    found = [F.col(c) for c, t in df.dtypes if t in numbers and c not in keys]
+    return found or [F.col(c) for c, t in df.dtypes if t == "string" and c not in keys]
 
 
 def attach(

@@ -89,3 +89,11 @@ def test_equals_brute_force(spark):
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     texts.append("😀" * 5000 + "x" * 5000)
     assert named(spark, texts) == [by_hand(t) for t in texts]
+
+
+def test_wide_ranges_hold_every_sign():
+    import re
+
+    wide = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), emoji.WIDE) + "]")
+    codes = [*emoji.sign_names(), emoji.KEYCAP, emoji.LETTER_A, emoji.LETTER_A + 25, emoji.BLACK_FLAG]
+    assert all(wide.match(chr(c)) for c in codes)
