@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline as cp
 from crowdread.llm import queries
 from test_byte_bpe_packing import check_packed
@@ -36,3 +38,33 @@ def test_stages_against_brute_force(spark, sf):
         if not plain(phrases[k]):
             assert t == phrases[k] or "<" in t
     check_packed(packed, masked)
+
+
+ROWS = [
+    (None, "free text without an id, a.b@c.de", "en", "s", 5), (None, None, None, None, None), (3, None, "en", "s", None), (3, None, "en", "s", None),
+    (4, "", "en", "s", 0), (5, "word", None, None, 4), (6, "one two three four five six seven", "en", "s", 9),
+    (6, "one two three four five six seven", "en", "s", 9), (7, "call +1 (988) 555-2485 now", "en", "s", 1),
+]
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_stages_take_nulls_repeated_rows_and_empty_tables(spark, sf, rows):
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "x", 2) for r in rows], f"{fields}, spans string, kept int")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == cp.COLUMNS, name
+        assert out.count() <= len(rows) and out.filter("doc_id IS NULL").count() == sum(r[0] is None for r in rows), name
+    packed = cp.STAGES[-1][1](spark, docs, sf)
+    assert packed.count() == len(rows)
+
+
+def test_stages_of_odd_rows(spark, sf):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(cp.STAGES)
+    masked = stage["personal data"](spark, docs, sf)
+    got = sorted(((r.doc_id, r.text) for r in masked.collect()), key=repr)
+    want = [(k, t and t.replace("a.b@c.de", "<email>").replace("+1 (988) 555-2485", "<phone>")) for k, t, *_ in ROWS]
+    assert got == sorted(want, key=repr)
+    copies = stage["near-duplicate documents"](spark, docs, sf)
+    assert sorted(((r.doc_id, r.text) for r in copies.collect()), key=repr) == sorted(((k, t) for k, t, *_ in ROWS), key=repr)
