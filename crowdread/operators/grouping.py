@@ -35,18 +35,14 @@ def order_inputs(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     return found or [F.col(c) for c, t in df.dtypes if t == "string" and c not in keys]
 
 
-def attach(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread_by: str, how: str = "left"
-) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join of rows with a table that has one row per key.
 
-    The rows of a hot key are spread over salts of ``spread_by`` and the one-row-per-key
-    side is repeated for each salt. Whether that side is small enough to be broadcast is left
-    to Spark, which knows its size.
+    A plain join: where the table is small Spark sends it to all tasks and the rows stay where they are; else the adaptive
+    skew join splits the partition of a hot key on the side of the rows, and the one row of the key goes to
+    each part.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))
-    return salted.join(per_key.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
+    return rows.join(per_key, list(keys), how)
 
 
 def number_rows(

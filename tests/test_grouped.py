@@ -41,7 +41,7 @@ def test_top_per_group_is_exact_below_and_above_the_limit(hot, n):
 
 def test_attach_keeps_every_row_once(hot):
     sizes = hot.groupBy("video_id").agg(F.count("*").alias("n"))
-    joined = grouping.attach(hot, sizes, ["video_id"], spread_by="comment_id")
+    joined = grouping.attach(hot, sizes, ["video_id"])
     assert joined.count() == hot.count() == joined.select("comment_id").distinct().count()
     assert joined.filter("video_id = 'hot'").select("n").distinct().count() == 1
 
