@@ -35,9 +35,11 @@ from crowdread.llm.staging import release, staged
 KEPT = 192
 FEW = 48
 RANKS = 12
-BLOCK = 1024
+BLOCK = 512
+#: Rows of a matrix of pairs that are judged at once.
+ROWS = 128
 #: Shingles of the full sets of a block, and columns of a product.
-ELEMENTS = 2_000_000
+ELEMENTS = 1_000_000
 COLUMNS = 4096
 #: Pairs per document from which a group's full sets are compared all at once.
 DENSE = 4
@@ -244,7 +246,7 @@ class Group:
 
 
 def shared_values(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """How many values each two of n rows share; a value stands at most once in a row."""
+    """How many values each two of n rows share (exact, as less than 2**24); a value stands at most once in a row."""
     kinds, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
     common = counts > 1
     place = (np.cumsum(common) - 1)[inverse]
@@ -258,7 +260,7 @@ def shared_values(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         holds = np.zeros((n, min(COLUMNS, int(common.sum()) - at)), np.float32)
         holds[rows[a:b], place[a:b] - at] = 1
         total += holds @ holds.T
-    return total.astype(np.int64)
+    return total
 
 
 def by_list(compare):
@@ -317,10 +319,14 @@ def open_members(lists: DataFrame, labels: DataFrame, reps: DataFrame, kept: int
         least, n = rows.column("held").combine_chunks(), group.n
         owner = np.repeat(np.arange(len(n)), np.asarray(pc.list_value_length(least), np.int64))
         shared = shared_values(np.asarray(least.flatten()), owner, len(n))
-        whole = np.maximum(n[:, None], n) <= kept
-        good = np.where(whole, 100 * (shared + 1) >= percent * (n[:, None] + n - shared), shared >= least_shared(kept, percent))
-        good &= group.open & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-        stay = good.any(axis=0) | good.any(axis=1)
+        stay = np.zeros(len(n), bool)
+        for at in range(0, len(n), ROWS):  # few rows of the matrix at a time
+            mine, both = n[at : at + ROWS, None], shared[at : at + ROWS]
+            whole = (mine <= kept) & (n <= kept)
+            good = np.where(whole, 100 * (both + 1) >= percent * (mine + n - both), both >= least_shared(kept, percent))
+            good &= group.open[at : at + ROWS] & (100 * np.minimum(mine, n) >= percent * np.maximum(mine, n))
+            stay |= good.any(axis=0)
+            stay[at : at + ROWS] |= good.any(axis=1)
         if not stay.any():
             return None
         keys = np.full(int(stay.sum()), rows.column("key")[0].as_py(), np.int64)

@@ -69,7 +69,7 @@ def texts():
     return list(enumerate([*docs, " ".join(word() for _ in range(30_000))]))
 
 
-@pytest.mark.parametrize("block, elements, dense", [(1024, 2_000_000, 4), (7, 2_000_000, 0), (1024, 3000, 0)])
+@pytest.mark.parametrize("block, elements, dense", [(512, 1_000_000, 4), (7, 1_000_000, 0), (512, 3000, 0)])
 def test_equals_brute_force(spark, monkeypatch, block, elements, dense):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "ELEMENTS", elements)
