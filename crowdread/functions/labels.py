@@ -36,6 +36,9 @@ def first_match(rules: list[tuple[str, str]], terms: Terms, default: Column | st
     return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+SENTIMENT_LISTS = ("POSITIVE_TERMS", "NEGATIVE_TERMS")
+
+
 def lexicon_sentiment(terms: Terms) -> Column:
     """Default sentiment scores from term counts, as an array of (label, score)."""
     p, n = terms.count("POSITIVE_TERMS"), terms.count("NEGATIVE_TERMS")

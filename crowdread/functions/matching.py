@@ -12,7 +12,7 @@ different terms of a list occur. Two matchers answer them behind one interface:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -70,8 +70,8 @@ class ScannedTerms:
         return F.expr(self.prefix + name.lower())
 
 
-def scan_terms(*lowered: Column) -> Column:
-    """Finds the terms of all lists in one pass over each lower-cased text.
+def scan_terms(*lowered: Column, lists: Sequence[str] = (*SCANNED, *COUNTED)) -> Column:
+    """Finds the terms of the lists in one pass over each lower-cased text; other lists count as not found.
 
     Fields ``t0_...``, ``t1_...`` hold, for each text given, the bits of the lists with a term
     in it and the number of different terms for the counted lists. Texts that are equal, as raw
@@ -82,10 +82,10 @@ def scan_terms(*lowered: Column) -> Column:
     bits: dict[str, int] = {}
     counted: dict[str, tuple[int, ...]] = {}
     for i, name in enumerate(SCANNED):
-        for t in lexicon.terms(name):
+        for t in lexicon.terms(name) if name in lists else ():
             bits[t] = bits.get(t, 0) | 1 << i
     for i, name in enumerate(COUNTED):
-        for t in lexicon.terms(name):
+        for t in lexicon.terms(name) if name in lists else ():
             counted[t] = (*counted.get(t, ()), i)
     found = {t: (bits.get(t, 0), counted.get(t, ())) for t in (*bits, *counted)}
     none = (0,) * (1 + len(names))

@@ -10,12 +10,15 @@ from crowdread.operators.cleaning import likes
 from crowdread.operators.terms import scanned
 from crowdread.schema import SEGMENTS
 
+# Term lists that the rules ask for.
+CORRECTION_LISTS = ("HINGLISH_POSITIVE", "POSITIVE_EMOJI", "REQUEST_WORDS", "COMPLIMENT_WORDS")
+AXIS_LISTS = ("HELP_REQUESTS", "CRITICISM_MARKERS", "PRAISE_WITH_QUESTION_WORD", "CURIOUS_MARKERS")
 TOP_COMMENT_CUT = 120
 
 
 def correct_sentiment(df: DataFrame, terms: Terms | None = None) -> DataFrame:
     """``sentiment`` and two scores after the correction rules."""
-    df, terms = scanned(df, "text", terms)
+    df, terms = scanned(df, "text", terms, CORRECTION_LISTS)
     fixed = audience.correct_sentiment(
         terms, F.col("sentiment"), F.col("positive_score"), F.col("negative_score")
     )
@@ -26,7 +29,7 @@ def correct_sentiment(df: DataFrame, terms: Terms | None = None) -> DataFrame:
 
 def axis_scores(df: DataFrame, terms: Terms | None = None) -> DataFrame:
     """``positivity``, ``criticism`` and ``curiosity`` of each comment."""
-    df, terms = scanned(df, "text", terms)
+    df, terms = scanned(df, "text", terms, AXIS_LISTS)
     df = df.withColumns(
         {
             "_helps": terms.any("HELP_REQUESTS"),
@@ -69,7 +72,7 @@ def _segment_info(i: int) -> Column:
 
 def segment_audience(df: DataFrame, terms: Terms | None = None) -> DataFrame:
     """Corrected sentiment, axis scores and segment."""
-    df, terms = scanned(df, "text", terms)
+    df, terms = scanned(df, "text", terms, (*CORRECTION_LISTS, *AXIS_LISTS))
     segmented = assign_segment(axis_scores(correct_sentiment(df, terms), terms))
     return segmented.drop("_helps", "_blames", "_asks", "_text_scan")
 

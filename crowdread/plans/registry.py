@@ -428,7 +428,7 @@ def l3_route_three_way(spark, sf):
 
 @query
 def l4_route_two_way(spark, sf):
-    df, terms = scanned(with_language(spark, sf), "text")
+    df, terms = scanned(with_language(spark, sf), "text", lists=labels.SENTIMENT_LISTS)
     routed = language.route_two_way(labels.lexicon_sentiment(terms), F.col("sentiment_scores"))
     verdict = labelling.label_sentiment(df.withColumn("sentiment_scores", routed))
     return verdict.select("comment_id", "language", "sentiment", "positive_score", "negative_score")
@@ -475,7 +475,7 @@ def n1_score_column(spark, sf):
 
 @query
 def n2_lexicon_sentiment(spark, sf):
-    df, terms = scanned(raw_comments(spark, sf), "text")
+    df, terms = scanned(raw_comments(spark, sf), "text", lists=labels.SENTIMENT_LISTS)
     df = df.withColumn("sentiment_scores", labels.lexicon_sentiment(terms))
     return labelling.label_sentiment(df).select(
         "comment_id", "sentiment", "positive_score", "negative_score", "neutral_score"
