@@ -841,6 +841,14 @@ FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0"""
         "FROM analysed WHERE like_count > 0"
     )
     out["v3_like_facts"] = full("SELECT video_id, count(*) AS comments, 1e0 AS best, 0::BIGINT AS negative FROM analysed GROUP BY video_id")
+    out["v2_video_model_facts"] = full(
+        "SELECT video_id, count(*) AS liked, 11 AS features, 1e0 AS importance, 0::BIGINT AS negative FROM analysed "
+        "WHERE like_count > 0 GROUP BY video_id HAVING count(*) >= 15"
+    )
+    out["v3_video_like_facts"] = full(
+        "SELECT video_id, count(*) AS comments, CASE WHEN count(*) FILTER (WHERE like_count > 0) >= 15 THEN 1e0 ELSE 0e0 END AS best, "
+        "0::BIGINT AS negative FROM analysed GROUP BY video_id"
+    )
     out["v6_like_model_kept"] = full("SELECT video_id, count(*) AS comments, count(*) AS same FROM analysed GROUP BY video_id")
     out["r17_report_topics"] = full(
         "SELECT a.video_id, any_value(v.title) AS title, count(*) AS total, true AS fits, true AS large, true AS by_size "

@@ -860,6 +860,28 @@ def v6_like_model_kept(spark, sf):
     return both.groupBy("video_id").agg(F.count("*").alias("comments"), F.count_if(same).alias("same"))
 
 
+@query
+def v2_video_model_facts(spark, sf):
+    """One like model per video: importances share out one whole, the rows that count are the liked ones."""
+    weights = likes.predict_likes_by_video(like_input(spark, sf))[1]
+    return weights.groupBy("video_id").agg(
+        F.max("liked").alias("liked"),
+        F.count("*").cast("int").alias("features"),
+        F.round(F.sum("importance"), 6).alias("importance"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+    )
+
+
+@query
+def v3_video_like_facts(spark, sf):
+    scores = likes.predict_likes_by_video(like_input(spark, sf))[0]
+    return scores.groupBy("video_id").agg(
+        F.count("*").alias("comments"),
+        F.max("virality_score").alias("best"),
+        F.count_if(F.col("predicted_likes") < 0).alias("negative"),
+    )
+
+
 @query
 def v4_virality_score(spark, sf):
     df = raw_comments(spark, sf).select(
