@@ -15,7 +15,8 @@ Anchors with more than ``MOST`` such classes are decided by the digests of the s
 (counted over all documents with partial sums), which leaves no group unbounded and drops nothing.
 
 Null and empty texts have no bytes. Matches never cross documents and are judged on the input. A row without
-doc_id is kept whole and judges nothing; rows that repeat a doc_id and its text count as one document.
+doc_id is kept whole and judges nothing; rows that repeat a doc_id and its text count as one document, and rows of one doc_id
+with different texts as documents of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdread.llm import bytetext as bt
 from crowdread.llm.recurring import deal, recurring_anchors, undeal
@@ -336,14 +337,34 @@ def byte_runs(ids: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     return ids[firsts], starts[firsts], starts[firsts] + sizes - 1 + length
 
 
+def mark_of(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def each_text_its_own_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The distinct texts, each under an id of its own, and own_id, doc_id and mark of those whose doc_id has several rows."""
+    repeats = staged(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
+    if not repeats.take(1):
+        release(repeats)
+        return docs, None
+    top = docs.agg(F.max("doc_id")).first()[0]
+    texts = docs.join(repeats, "doc_id", "left_semi").withColumn("mark", mark_of("text")).dropDuplicates(["doc_id", "mark"])
+    texts = staged(texts, "repeated-texts")
+    own = (F.lit(top + 1) + F.monotonically_increasing_id()).alias("own_id")
+    named = staged(texts.select("doc_id", "mark", own), "own-ids")
+    several = texts.join(named, ["doc_id", "mark"]).select(F.col("own_id").alias("doc_id"), "text")
+    return docs.join(repeats, "doc_id", "left_anti").unionByName(several), named
+
+
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """doc_id and ``spans`` (start, end): the merged byte ranges that recur."""
+    """doc_id, ``spans`` (start, end), the merged byte ranges that recur, and mark, which tells the texts of an id with several rows apart."""
 
     def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = Anchors(data, offsets, length)
         return found.values[found.at], found.rows
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    docs, named = each_text_its_own_id(docs)
     buckets = 1 + text_size(docs) // BUCKET_BYTES
     anchors = recurring_anchors(docs, find, buckets, within=True)
     candidates = staged(docs.join(anchors, "doc_id"), "candidates")
@@ -367,6 +388,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     if often.take(1):
         found = found.unionByName(frequent_matches(candidates, often, length, buckets))
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    if named is None:
+        spans = spans.withColumn("mark", F.lit(None).cast("string"))
+    else:
+        spans = spans.withColumnRenamed("doc_id", "own_id").join(named, "own_id", "left")
+        spans = spans.select(F.coalesce("doc_id", "own_id").alias("doc_id"), "spans", "mark")
     out = staged(spans, "spans")
     release(anchors, candidates, sent, classes, kinds)
     return out
@@ -399,7 +425,9 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    both = docs.select(F.col("doc_id").cast("long"), text).join(spans, "doc_id", "left")
+    rows, found = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).alias("d"), spans.alias("s")
+    mine = (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col("s.mark").isNull() | (F.col("s.mark") == mark_of("d.text")))
+    both = rows.join(found, mine, "left").select("d.doc_id", F.col("d.text").alias(text), "s.spans")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -66,3 +66,19 @@ def test_missing_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "x" * 500), (3, "y" * 100), (3, "y" * 100)], "doc_id long, text string")
     assert sorted(r.n_removed for r in sd.dedup(docs).collect()) == [0, 0, 0]
     assert sd.dedup(docs.filter("false")).collect() == []
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    one, two = noise(500), noise(600)
+    rows = [(1, noise(50) + one), (4, one + noise(40)), (4, one + noise(40)), (4, noise(900)), (4, two), (9, noise(30) + two + noise(30)), (4, None), (12, "z")]
+    rows[2] = rows[1]  # a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in sd.dedup(docs).collect())
+    distinct = list(dict.fromkeys(rows))  # each text judges as a document of its own
+    want = brute([(i, t) for i, (_, t) in enumerate(distinct)])
+    of = {row: want[i] for i, row in enumerate(distinct)}
+    removed = lambda row: of[row][1]
+    assert [(k, len((t or "").encode()), removed((k, t))) for k, t in sorted(rows, key=lambda r: (r[0], len(r[1] or ""), removed(r)))] == [x[:3] for x in got]
+    assert sum(x[2] for x in got) == 500 * 3 + 600 * 2
