@@ -1,8 +1,8 @@
 """Near-duplicate vectors of one label by product quantisation.
 
 Unit vectors go to the inverted list of their nearest coarse centre; their residuals are coded by one of
-256 centres in each subspace. Vectors of each length have a quantiser of their own: as many lists as the square root of their
-number, ``LISTS`` at least and ``MOST_LISTS`` at most, fitted on a sample of ``SAMPLE`` vectors a list. Two unit vectors with the cosine limit
+256 centres in each subspace. Vectors of each length have a quantiser of their own: a quarter of the square root of their
+number as lists, ``LISTS`` at least and ``MOST_LISTS`` at most (finer lists are probed by more vectors), fitted on a sample of ``SAMPLE`` vectors a list. Two unit vectors with the cosine limit
 lie within a radius r of each other, which makes the probes sufficient: a vector x probes each list c
 whose border with its own list c0 is within r, (|x-c|^2 - |x-c0|^2) / (2 |c-c0|) <= r, so no partner
 can lie in a list that is not probed. Asymmetric distances come from lookup tables of x against the
@@ -33,7 +33,7 @@ SAMPLE = 128
 LISTS, MOST_LISTS = 32, 1024
 PARTS = 8
 CODES = 256
-BLOCK, SIDE = 1024, 8192
+BLOCK, SIDE = 1024, 4096
 SLACK = 1e-6
 
 
@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, lists: int | None =
     found = None
     for width, n in lengths:
         mine = classes.filter(F.size("vector") == width)
-        count = lists or min(MOST_LISTS, max(LISTS, math.isqrt(n)))
+        count = lists or min(MOST_LISTS, max(LISTS, math.isqrt(n) // 4))
         picked = mine.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample * count).collect()
         links = links_of(mine, Quantiser(units(np.array([r.vector for r in picked])), count), limit)
         found = links if found is None else found.unionByName(links)
