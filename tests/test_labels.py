@@ -3,7 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from crowdread.functions import labels, lexicon, votes
+from crowdread.functions import labels, lexicon, matching, votes
 from crowdread.functions.matching import COUNTED, SCANNED, ScannedTerms, TextTerms, minimal_terms, scan_terms
 from crowdread.operators import labelling
 from crowdread.plans import fixtures
@@ -144,3 +144,30 @@ def test_merge_defaults(spark):
     rows = {r.comment_id: r for r in labelling.merge_labels(comments, mood).collect()}
     assert (rows[1].sentiment, rows[1].neutral_score, rows[1].like_count) == ("neutral", 1.0, 0)
     assert (rows[2].sentiment, rows[2].is_toxic, rows[2].like_count) == ("positive", False, 5)
+
+
+def test_scan_holds_few_texts_as_strings(monkeypatch):
+    """A batch is searched slice by slice, and every text of it is searched."""
+    held = []
+
+    class Texts:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, size):
+            return Texts(self.values[at : at + size])
+
+        def to_pylist(self):
+            held.append(len(self.values))
+            return self.values
+
+    monkeypatch.setattr(matching.F, "arrow_udf", lambda scan, kind: lambda *columns: scan)
+    scan = matching.scan_terms(F.lit(""), lists=("RULE_THANKS", "POSITIVE_TERMS"))
+    texts = ["thanks a lot", None, "", "nothing"] * 100 + ["thanks"]
+    (found,) = scan(iter([(Texts(texts),)]))
+    bit = 1 << SCANNED.index("RULE_THANKS")
+    assert [row["t0_lists"] for row in found.to_pylist()] == [bit if "thanks" in (t or "") else 0 for t in texts]
+    assert max(held) <= matching.SLICE and sum(held) == len(texts)
