@@ -10,9 +10,13 @@ the list, three times over what is left of it: by the least ``FEW`` values, by w
 is compared in one list alone, that of the least key the two share, and no pairs are written: the first two
 steps tell which documents of a list stay, the last one tells the links that join components.
 
+A list of more than ``LONG`` documents is not compared as it is, as its pairs grow with its square. Its documents are listed anew by single values
+of their whole sketches: those that the fewest documents of long lists have, as many as two sketches that pass cannot both do without. A value
+that no other of these documents has opens no list, so documents that share a common passage and nothing else do not meet. No pair that would pass is lost.
+
 Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches and
 compared exactly, however large their union. For larger sets, a pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
-no list is cut, and long lists are compared block by block.
+no list is cut, and what is still longer than ``BLOCK`` is compared block by block.
 
 Empty and null texts have no shingles and no links. A row without doc_id is its own component. Very
 long texts are hashed whole. Repeated rows fall in one class.
@@ -36,6 +40,8 @@ KEPT = 192
 FEW = 48
 RANKS = 12
 BLOCK = 512
+#: Documents of a list beyond which it is replaced by lists of rare values.
+LONG = 8
 #: Rows of a matrix of pairs that are judged at once.
 ROWS = 128
 #: Shingles of the full sets of a block, and columns of a product.
@@ -196,7 +202,7 @@ def hub_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text:
 
 
 def list_ends(column: pa.Array) -> np.ndarray:
-    return np.append(0, np.cumsum(np.asarray(pc.list_value_length(column), np.int64)))
+    return np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)))
 
 
 def hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -235,8 +241,12 @@ class Group:
     def __init__(self, rows: pa.Table):
         self.ids, self.components, self.n = (np.asarray(rows.column(c)) for c in ("doc_id", "component", "n"))
         self.right, self.inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "inner"))
-        keys, owner = list_keys(rows.column("low").combine_chunks(), np.asarray(rows.column("size_class")))
-        below = keys < rows.column("key")[0].as_py()
+        key, rare = rows.column("key")[0].as_py(), rows.column("rare").combine_chunks()
+        if key in (rare[0].as_py() or ()):
+            keys, owner = np.asarray(rare.flatten()), np.repeat(np.arange(len(rare)), np.diff(list_ends(rare)))
+        else:
+            keys, owner = list_keys(rows.column("low").combine_chunks(), np.asarray(rows.column("size_class")))
+        below = keys < key
         open_ = self.components[:, None] != self.components
         if not self.inner[0]:
             open_ &= self.right[:, None] != self.right
@@ -281,17 +291,39 @@ def by_list(compare):
     return run
 
 
+def open_rows(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, doc_id) of lists that hold several components, with ``component`` and ``total``, the documents of the list."""
+    named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_lists = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("total"))
+    return named.join(open_lists.filter("first < last").select("key", "total"), "key")
+
+
+def rare_values(needed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """doc_id and ``rare``: the keys of the values of each needed document's sketch by which alone it is compared.
+
+    Of two sketches that pass, each holds ``bound`` values of the other, so in one order of all values their first common one
+    is among the first ``held - bound + 1`` of each. Values come in the order of how many needed documents have them; those that one has are left out.
+    """
+    most = max(1, least_shared(KEPT, percent))
+    held = reps.join(needed.distinct(), "doc_id", "left_semi").select("doc_id", "n", F.array_distinct("least").alias("held"))
+    enough = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("n") * percent / 100).cast("int") - 1))
+    bound = F.when(F.col("n") <= KEPT, enough).otherwise(most)
+    values = held.select("doc_id", (F.size("held") - bound + 1).alias("first"), F.explode("held").alias("value"))
+    common = values.groupBy("value").agg(F.count("*").alias("docs")).filter("docs > 1")
+    entry = F.struct(F.coalesce("docs", F.lit(1).cast("long")).alias("docs"), "value")
+    ordered = values.join(common, "value", "left").groupBy("doc_id", "first").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    kept = F.filter(F.slice("entries", 1, F.greatest("first", F.lit(1))), lambda e: e["docs"] > 1)
+    return staged(ordered.select("doc_id", F.transform(kept, lambda e: F.xxhash64(F.lit("rare"), e["value"])).alias("rare")), "rare")
+
+
 def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame, whole: bool) -> DataFrame:
     """The rows of lists (key, doc_id) that hold several components, dealt so that a task gets a list, or two blocks of one, at once.
 
-    ``values`` has doc_id, n, low, size_class and ``held``, what is compared. A list of more than BLOCK documents, or whose
+    ``values`` has doc_id, n, low, size_class, rare and ``held``, what is compared. A list of more than BLOCK documents, or whose
     ``whole`` sets have more than ELEMENTS shingles, is cut into blocks, and each pair of blocks is a group of its own.
     """
-    named = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_lists = named.groupBy("key").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
-    ).filter("first < last").select("key", "blocks")
-    rows = named.join(open_lists, "key")
+    rows = open_rows(lists, labels) if "total" not in lists.columns else lists
+    rows = rows.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     if whole:
         sizes = rows.join(values.select("doc_id", "n"), "doc_id").groupBy("key").agg(F.sum("n").alias("weight"))
         rows = rows.join(sizes, "key").withColumn("blocks", F.greatest("blocks", F.ceil(F.col("weight") / ELEMENTS).cast("int")))
@@ -301,7 +333,7 @@ def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame, whole: boo
     rows = rows.select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "key",
         (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("inner"),
-        "doc_id", "component", "n", "low", "size_class", "held",
+        "doc_id", "component", "n", "low", "size_class", "rare", "held",
     )
     return rows.repartition("list").sortWithinPartitions("list")
 
@@ -332,7 +364,7 @@ def open_members(lists: DataFrame, labels: DataFrame, reps: DataFrame, kept: int
         keys = np.full(int(stay.sum()), rows.column("key")[0].as_py(), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(group.ids[stay])], ["key", "doc_id"])
 
-    values = reps.select("doc_id", "n", "low", "size_class", F.slice("least", 1, kept).alias("held"))
+    values = reps.select("doc_id", "n", "low", "size_class", "rare", F.slice("least", 1, kept).alias("held"))
     found = in_groups(lists, labels, values, False).mapInArrow(by_list(compare), "key long, doc_id long")
     return staged(found.distinct(), "open")
 
@@ -373,7 +405,7 @@ def group_links(lists: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
     members = full_sets(lists.select("doc_id"), docs, width, text)
-    values = members.withColumnRenamed("members", "held").join(reps.select("doc_id", "n", "low", "size_class"), "doc_id")
+    values = members.withColumnRenamed("members", "held").join(reps.select("doc_id", "n", "low", "size_class", "rare"), "doc_id")
     found = in_groups(lists, labels, values, True).mapInArrow(by_list(compare), "a long, b long")
     links = staged(found, "links")
     release(members)
@@ -403,12 +435,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text: st
     links = hub_links(pairs, docs, width, percent, text)
     first = staged(components(links), "components")
     labels = first.select(F.col("node").alias("doc_id"), "component")
-    few = open_members(lists, labels, reps, FEW, percent)
+    open_ = staged(open_rows(lists, labels), "open-rows")
     release(lists, pairs)
-    left = open_members(few, labels, reps, KEPT, percent)
-    links = links.union(group_links(left, labels, reps, docs, width, percent, text))
+    long = F.col("total") > LONG
+    rare = rare_values(open_.filter(long).select("doc_id"), reps, percent)
+    listed = reps.join(rare, "doc_id", "left")
+    few = open_members(open_.filter(~long), labels, listed, FEW, percent)
+    both = few.unionByName(rare.select("doc_id", F.explode("rare").alias("key")))
+    left = open_members(both, labels, listed, KEPT, percent)
+    links = links.union(group_links(left, labels, listed, docs, width, percent, text))
     final = staged(components(links), "components").select(F.col("node").alias("rep"), "component")
-    release(few, left, first, reps)
+    release(open_, rare, few, left, first, reps)
     rows = known.select("doc_id", *digest).join(classes, digest, "left").join(final, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

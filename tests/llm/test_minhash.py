@@ -184,3 +184,34 @@ def test_recall_of_drawn_pairs_at_the_limit(spark, percent):
             rows.append((len(rows), " ".join(common + [f"{side}{k}x{i}" for i in range(size - shared)])))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
     assert got == {k: k - k % 2 for k, _ in rows}
+
+
+@pytest.mark.parametrize("long", [1, 100])
+def test_lists_of_rare_values_equal_brute_force(spark, monkeypatch, long):
+    monkeypatch.setattr(minhash, "LONG", long)
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_of_a_long_list_grow_with_its_documents(spark, monkeypatch):
+    """Documents that share a passage: what is dealt grows in proportion, not with the square of the list."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LONG", 8, raising=False)
+    dealt, deal = [], minhash.in_groups
+
+    def counted(*args):
+        out = deal(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "in_groups", counted)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"{i}-{rng.randrange(10**6)}" for _ in range(60))) for i in range(160)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 160, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+    assert sum(dealt) <= 10 * len(rows)
