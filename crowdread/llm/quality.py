@@ -134,10 +134,15 @@ def fit(rows: DataFrame, waves: int) -> tuple[Waves, np.ndarray, np.ndarray, np.
                 sums[k] = sums.get(k, 0) + part.T @ part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["fold", "sums"])
 
-    folds: dict[int, np.ndarray] = {}
-    for row in rows.mapInArrow(equations, "fold int, sums binary").collect():  # one row per fold and part
-        part = np.frombuffer(row.sums).reshape(int((len(row.sums) // 8) ** 0.5), -1)
-        folds[row.fold] = folds.get(row.fold, 0) + part
+    def added(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("part")  # always in one order, as sums of doubles depend on it
+        sums = sum(np.frombuffer(s.as_buffer()) for s in parts.column("sums"))
+        return pa.table({"fold": parts.column("fold").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    # One row per fold and part, summed before the driver gets one per fold.
+    sent = rows.mapInArrow(equations, "fold int, sums binary").withColumn("part", F.spark_partition_id())
+    summed = sent.groupBy("fold").applyInArrow(added, "fold int, sums binary").orderBy("fold").collect()
+    folds = {row.fold: np.frombuffer(row.sums).reshape(int((len(row.sums) // 8) ** 0.5), -1) for row in summed}
     total = sum(folds.values())
 
     def solve(sums: np.ndarray) -> np.ndarray:

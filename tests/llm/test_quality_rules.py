@@ -91,3 +91,21 @@ def test_no_python_in_the_plan(spark, sf):
     plan = queries.op6_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     stats = rules.statistics(queries.table(spark, sf, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan + stats)
+
+
+def test_driver_gets_one_matrix_per_fold(spark, monkeypatch):
+    """Not one per fold and part, whose number would grow with the parts."""
+    sent, frame = [], type(spark.range(1))
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        if "sums" in self.columns:
+            sent.append(sorted(r.fold for r in rows))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    rows = [([float(i % 7), float(i % 11)], float(i % 2), 1 + i % 4) for i in range(200)]
+    model = quality.fit(spark.createDataFrame(rows, "f array<double>, y double, fold int"), 8)
+    assert sent == [[1, 2, 3, 4]]
+    assert len(model[1]) == 8 + 2 + 1
