@@ -11,8 +11,8 @@ is compared in one list alone, that of the least key the two share, and no pairs
 steps tell which documents of a list stay, the last one tells the links that join components.
 
 A list of more than ``LONG`` documents is not compared as it is, as its pairs grow with its square. Its documents are listed anew by single values
-of their whole sketches: those that the fewest documents of long lists have, as many as two sketches that pass cannot both do without. A value
-that no other of these documents has opens no list, so documents that share a common passage and nothing else do not meet. No pair that would pass is lost.
+of their whole sketches, the most frequent ones last, as many as two sketches that pass cannot both do without. A value
+that no other of these documents has so opens no list, so documents that share a common passage and nothing else do not meet. No pair that would pass is lost.
 
 Lists are kept apart by classes of set size. Sets of at most ``KEPT`` shingles are whole in their sketches and
 compared exactly, however large their union. For larger sets, a pair passes down to five standard deviations below the least similarity, so the chance to reject one there is about 1e-6, and that no list holds a pair about 1e-8;
@@ -42,6 +42,8 @@ RANKS = 12
 BLOCK = 512
 #: Documents of a list beyond which it is replaced by lists of rare values.
 LONG = 8
+#: Values whose numbers of documents every task knows, and documents up to which a value is not one of them.
+KNOWN, LIGHT = 1 << 18, 64
 #: Rows of a matrix of pairs that are judged at once.
 ROWS = 128
 #: Shingles of the full sets of a block, and columns of a product.
@@ -302,18 +304,38 @@ def rare_values(needed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """doc_id and ``rare``: the keys of the values of each needed document's sketch by which alone it is compared.
 
     Of two sketches that pass, each holds ``bound`` values of the other, so in one order of all values their first common one
-    is among the first ``held - bound + 1`` of each. Values come in the order of how many needed documents have them; those that one has are left out.
+    is among the first ``held - bound + 1`` of each. Frequent values come last, by how many needed documents have them: those of more than
+    ``total / KNOWN``, of which there are fewer than ``KNOWN`` however many documents there are. The others come by value. Only the first ones are written, and of
+    them those that one document has are left out.
     """
     most = max(1, least_shared(KEPT, percent))
     held = reps.join(needed.distinct(), "doc_id", "left_semi").select("doc_id", "n", F.array_distinct("least").alias("held"))
     enough = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("n") * percent / 100).cast("int") - 1))
     bound = F.when(F.col("n") <= KEPT, enough).otherwise(most)
-    values = held.select("doc_id", (F.size("held") - bound + 1).alias("first"), F.explode("held").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("docs")).filter("docs > 1")
-    entry = F.struct(F.coalesce("docs", F.lit(1).cast("long")).alias("docs"), "value")
-    ordered = values.join(common, "value", "left").groupBy("doc_id", "first").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    kept = F.filter(F.slice("entries", 1, F.greatest("first", F.lit(1))), lambda e: e["docs"] > 1)
-    return staged(ordered.select("doc_id", F.transform(kept, lambda e: F.xxhash64(F.lit("rare"), e["value"])).alias("rare")), "rare")
+    held = staged(held.select("doc_id", F.greatest(F.size("held") - bound + 1, F.lit(1)).alias("first"), "held"), "held")
+    total = held.agg(F.sum(F.size("held"))).first()[0] or 0
+    docs = held.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("docs"))
+    known = docs.filter(F.col("docs") > max(LIGHT, total // KNOWN)).orderBy("value").toArrow()
+    frequent, times = (np.asarray(known.column(c)) for c in ("value", "docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = np.asarray(batch.column("held").flatten()), list_ends(batch.column("held"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            docs = np.zeros(len(flat), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+                docs = np.where(frequent[at] == flat, times[at], 0)
+            order = np.lexsort((flat, docs, row))
+            order = order[np.arange(len(flat)) - ends[row] < np.asarray(batch.column("first"))[row]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[order])), pa.array(flat[order])], ["doc_id", "value"])
+
+    first = staged(held.mapInArrow(run, "doc_id long, value int"), "first-values")
+    common = first.groupBy("value").agg(F.count("*").alias("docs")).filter("docs > 1").select("value")
+    key = F.xxhash64(F.lit("rare"), "value")
+    rare = staged(first.join(common, "value").groupBy("doc_id").agg(F.collect_list(key).alias("rare")), "rare")
+    release(held, first)
+    return rare
 
 
 def in_groups(lists: DataFrame, labels: DataFrame, values: DataFrame, whole: bool) -> DataFrame:

@@ -215,3 +215,32 @@ def test_rows_of_a_long_list_grow_with_its_documents(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
     assert got == brute(rows)
     assert sum(dealt) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("light", [0, 64])
+def test_joins_of_values_do_not_bring_every_value(spark, monkeypatch, light):
+    """Documents that share a passage: only values that open a list are joined, whatever number of them is frequent."""
+    monkeypatch.setattr(minhash, "LIGHT", light, raising=False)
+    monkeypatch.setattr(minhash, "LONG", 8)
+    joined, deal, join = [], minhash.rare_values, type(spark.range(1)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "value":
+            joined.append(out.count())
+        return out
+
+    def rare(*args):
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.range(1)), "join", counted)
+            return deal(*args)
+
+    monkeypatch.setattr(minhash, "rare_values", rare)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"{i}-{rng.randrange(10**6)}" for _ in range(60))) for i in range(160)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 160, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+    assert joined and max(joined) <= 20 * len(rows)  # each row has about 118 values
