@@ -3,16 +3,16 @@
 A paragraph is a run of lines of which all but the last are wrapped: not blank, and without a mark that ends a sentence.
 Each line is scored by itself, and each paragraph of several lines also joined, so that a notice may be wrapped anywhere.
 They are cut into word n-grams (one and two words); a multinomial logistic regression over the n-grams of the notices below,
-fitted to these and to ``SAMPLE`` lines of the corpus (their first ``LINE_CUT`` characters), gives a score per family and for unknown. All that hold a word
+fitted to these and to half of all lines of the corpus, which weigh together as ``SAMPLE`` lines, gives a score per family and for unknown. All that hold a word
 of a notice are scored; others have no n-gram the model knows. Unknown is a calibrated class: a line that no notice confirms speaks of an unknown
 licence only if the log odds of all families together are ``PROSE`` standard deviations above the median of the lines left out of the fit (the
 deviation is taken from their median and 99th percentile); other lines do not count. A family that passes is confirmed only if a line covers at least half of
 the words of a template of that family (joined lines: half of its n-grams, as they have more words), or holds one of its titles whole.
 
 The least score of a family is set by calibration on lines and notices left out of the fit: it is above the score
-of each of these that is wrongly taken for the family, and at least 0.5. Lines of the corpus are drawn by hash from all lines; those that the
-comparison with the notices confirms are no negatives. With n of them left out (half of ``SAMPLE``) and none above
-the limit, at most 3 / n of such lines pass the classifier, with a confidence of 95 %.
+of each of these that is wrongly taken for the family, and at least 0.5. No line of the corpus is left out: lines are counted by the n-grams of the notices
+that they hold, which is all the model sees, and halves are told by hash. Those that the comparison with the notices confirms are no negatives. With n of
+them left out of the fit and none above the limit, at most 3 / n of such lines pass the classifier, with a confidence of 95 %.
 
 Null and empty texts have no licences. Repeated lines count each. Every row has the counts of its own text, however often its id or text
 is repeated, and rows without doc_id too. Very long lines are scored whole.
@@ -72,9 +72,9 @@ CC_WORDS = {
 }
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 ENDING = r"\s.!?:;"
+#: Lines that those of the corpus, however many, weigh as in the fit.
 SAMPLE = 500
-#: Characters of a line that the fit reads, and how many standard deviations above prose a line has to be to speak of a licence.
-LINE_CUT = 2000
+#: How many standard deviations above prose a line has to be to speak of a licence.
 PROSE = 6
 COVER = 0.5
 
@@ -88,6 +88,12 @@ def grams_of(words: str) -> Column:
     return F.array_distinct(F.concat(F.col(words), two))
 
 
+def grams_in(words: str) -> set[str]:
+    """The n-grams of a notice."""
+    parts = words.split()
+    return {*parts, *(f"{a} {b}" for a, b in zip(parts, parts[1:]))}
+
+
 def notices() -> list[tuple[str, str, bool]]:
     """family, words, and whether they count only as a whole."""
     out = [(family, words, False) for family, words in TEMPLATES]
@@ -142,50 +148,74 @@ def compared() -> dict[str, list]:
     """The notices of each family as ``covered`` takes them."""
     own: dict[str, list] = {}
     for family, words, whole in notices():
-        parts = words.split()
-        grams = [] if whole else sorted({*parts, *(f"{a} {b}" for a, b in zip(parts, parts[1:]))})
-        own.setdefault(family, []).append((f" {words} ", sorted(set(parts)), grams, whole))
+        grams = [] if whole else sorted(grams_in(words))
+        own.setdefault(family, []).append((f" {words} ", sorted(set(words.split())), grams, whole))
     return own
 
 
 NOTICE = "array<struct<words:string,parts:array<string>,grams:array<string>,whole:boolean>>"
 
 
+def corpus_lines(docs: DataFrame, text: str) -> DataFrame:
+    """All lines of the corpus that no notice confirms, counted by what the model sees of them: ``grams`` (those of the notices), ``fitted`` and ``n``.
+
+    Half of the lines, by hash, are for the fit. Here a title is confirmed by its n-grams.
+    """
+    spark = docs.sparkSession
+    vocabulary = sorted({g for _, words, _ in notices() for g in grams_in(words)})
+    known = sorted({w for _, words, _ in notices() for w in words.split()})
+    lines = units(docs, text).filter("line_no >= 0 AND line <> ''")
+    lines = lines.select((F.xxhash64("doc_id", "paragraph", "line_no", "line") % 2 == 0).alias("fitted"), words_of(F.col("line")).alias("w"))
+    held = F.sort_array(F.filter(grams_of("w"), lambda g: g.isin(*vocabulary)))
+    lines = lines.withColumn("grams", F.when(F.exists("w", lambda w: w.isin(*known)), held).otherwise(F.array().cast("array<string>")))
+    groups = lines.groupBy("grams").agg(F.count_if("fitted").alias("inside"), F.count_if(~F.col("fitted")).alias("outside")).withColumn("one", F.lit(1))
+    asked = lambda kind: sorted({tuple(sorted(grams_in(x) if kind else set(x.split()))) for _, x, whole in notices() if whole == kind})
+    table = spark.createDataFrame([(1, asked(False), asked(True))], "one int, templates array<array<string>>, titles array<array<string>>")
+    share = lambda parts: F.size(F.array_intersect("grams", parts)) / F.size(parts)
+    # Few lines hold the longest n-gram of a title, without which it is not there.
+    maybe = F.exists("grams", lambda g: g.isin(*sorted({max(x, key=len) for x in asked(True)})))
+    confirmed = F.exists("templates", lambda x: share(x) >= COVER) | (maybe & F.exists("titles", lambda x: share(x) >= 1))
+    halves = F.inline(F.array(F.struct(F.lit(True).alias("fitted"), F.col("inside").alias("n")), F.struct(F.lit(False).alias("fitted"), F.col("outside").alias("n"))))
+    rows = groups.join(F.broadcast(table), "one").filter(~confirmed).select("grams", halves).filter("n > 0")
+    return staged(rows, "negatives")
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Trains on half of the rows (notices, notices with words of the corpus around, and lines of no licence), calibrates on the others."""
+    """Trains on half of the rows (notices, notices with words of the corpus around, and all lines of no licence), calibrates on the others.
+
+    The lines of the corpus that train weigh together as ``sample`` of them.
+    """
     spark = docs.sparkSession
-    lines = units(docs, text).filter("line_no >= 0 AND line <> ''").withColumn("h", F.xxhash64("doc_id", "paragraph", "line_no", "line"))
-    drawn = lines.select("h", F.substring("line", 1, LINE_CUT).alias("line")).orderBy("h").limit(sample)
-    drawn = drawn.groupBy("line").agg(F.min("h").alias("h"))
-    drawn = drawn.withColumn("w", words_of(F.col("line"))).withColumn("grams", grams_of("w")).withColumn("one", F.lit(1))
-    every = spark.createDataFrame([(1, [n for own in compared().values() for n in own])], f"one int, own {NOTICE}")
-    drawn = staged(drawn.join(F.broadcast(every), "one").filter(~covered("own", F.lit(False))).select("h", "line"), "negatives")
-    around = [" ".join(r.line[:200].split()[:6]) for r in drawn.orderBy("h").select(F.substring("line", 1, 200).alias("line")).limit(20).collect()] or [""]
+    negatives = corpus_lines(docs, text)
+    some = negatives.filter("size(grams) > 0").orderBy(F.xxhash64("grams"), "grams", "fitted").limit(20).collect()
+    around = [" ".join([g for g in r.grams if " " not in g][:6]) for r in some] or [""]
     known, mixed = [], ("driving license plate", "she asked for permission to leave", "copyright law is taught in class", "a warrant was issued", "the public domain of ideas")
     for i, (family, words, _) in enumerate(notices()):
         before, after = around[i % len(around)], around[(i + 7) % len(around)]
         known += [(family, words, True), (family, f"{before} {words}", True), (family, f"{words} {after}", False)]
     known = spark.createDataFrame([*known, *((UNKNOWN, x, True) for x in mixed)], "family string, line string, fitted boolean")
-    rows = known.unionByName(drawn.select(F.lit(UNKNOWN).alias("family"), "line", (F.col("h") % 2 == 0).alias("fitted")))
-    rows = rows.withColumn("w", words_of(F.col("line"))).withColumn("grams", grams_of("w"))
+    known = known.withColumn("w", words_of(F.col("line"))).select("family", grams_of("w").alias("grams"), "fitted", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight"))
+    total = negatives.agg(F.sum("n")).first()[0] or 0
+    rows = known.unionByName(negatives.select(F.lit(UNKNOWN).alias("family"), "grams", "fitted", "n", (F.col("n") * min(1.0, sample / max(total, 1))).alias("weight")))
     families = sorted({f for f, _, _ in notices()} | {UNKNOWN})
-    rows = rows.withColumn("label", F.array_position(F.lit(families), F.col("family")).cast("double") - 1).coalesce(1).cache()
+    rows = rows.withColumn("label", F.array_position(F.lit(families), F.col("family")).cast("double") - 1)
     grams = spark.createDataFrame([(x[1],) for x in notices()], "line string").withColumn("w", words_of(F.col("line"))).withColumn("grams", grams_of("w"))
     vocabulary = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=1 << 14).fit(grams)
-    trained = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.0005, maxIter=60).fit(vocabulary.transform(rows.filter("fitted")))
+    learner = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=0.0005, maxIter=60)
+    trained = learner.fit(vocabulary.transform(rows.filter("fitted")))
     model = Model(families, vocabulary, trained, {})
-    left_out = scored(rows.filter("NOT fitted").select("family", "line", "w", "grams"), model)
+    odds = F.round(F.log(F.col("licence") / (1 - F.col("licence"))), 3)
+    left_out = staged(scored(rows.filter("NOT fitted").select("family", "grams", "n"), model).select("family", "guess", "score", "licence", "n"), "left-out")
     wrong = left_out.filter((F.col("guess") != UNKNOWN) & (F.col("guess") != F.col("family"))).groupBy("guess").agg(F.max("score").alias("score"))
     worst = {r.guess: r.score for r in wrong.collect()}
     model.least = {f: max(0.5, worst.get(f, 0.0)) for f in families if f != UNKNOWN}
-    odds = F.log(F.col("licence") / (1 - F.col("licence")))
-    prose = left_out.filter((F.col("family") == UNKNOWN) & F.col("licence").between(1e-12, 1 - 1e-12))
-    middle = prose.agg(F.percentile_approx(odds, [0.5, 0.99], F.lit(10_000))).first()[0]
+    # Log odds to three places, so that there are at most 56,000 of them.
+    prose = left_out.filter((F.col("family") == UNKNOWN) & F.col("licence").between(1e-12, 1 - 1e-12)).groupBy(odds.alias("odds")).agg(F.sum("n").alias("n"))
+    middle = prose.agg(F.percentile("odds", [0.5, 0.99], F.col("n"))).first()[0]
     if middle:
         limit = middle[0] + PROSE * (middle[1] - middle[0]) / 2.326
         model.licence = 1 / (1 + math.exp(-limit))
-    rows.unpersist()
-    release(drawn)
+    release(negatives, left_out)
     return model
 
 

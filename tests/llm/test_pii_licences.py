@@ -207,3 +207,17 @@ def test_spelled_at_signs_are_looked_at_without_digits(spark):
     for text, wanted in ((texts[1], 1), (texts[4], 0)):
         data = np.frombuffer(text.encode(), np.uint8)
         assert len(pii.islands(data, np.array([0, len(data)]))[0]) == wanted
+
+
+def test_limits_know_every_line_of_the_corpus(spark):
+    """Eight lines of 1,208 resemble a licence: half of them, by hash, are above no limit, however few lines the corpus weighs as."""
+    rows = [(i, "\n".join(f"plain words number {i} of text {k}." for k in range(40))) for i in range(30)]
+    rows += [(100 + i, f"an apache chief has a license version {i}.") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licences.fit(docs, sample=20)
+    lines = licences.with_words(spark.createDataFrame([(r[1],) for r in rows[30:]], "line string"))
+    for r in licences.scored(lines, model).collect():
+        assert r.guess == licences.UNKNOWN or r.score <= model.least[r.guess]
+    # Lines are counted, not drawn: three copies of the corpus have the same limits, up to the rounding of the fit.
+    again = licences.fit(docs.union(docs).union(docs), sample=20)
+    assert all(abs(again.least[f] - x) < 1e-6 for f, x in model.least.items()) and abs(again.licence - model.licence) < 1e-3
