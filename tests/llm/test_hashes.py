@@ -92,3 +92,9 @@ def test_op7(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffix_dedup.dedup(docs).collect()}
     assert got == want
+
+
+def test_powers_are_little_longer_than_a_slice():
+    """Each worker keeps two tables of powers; a slice may end with a long text."""
+    up, down = bt.powers_for(bt.SLICE_BYTES + 200_000)
+    assert len(up) >= bt.SLICE_BYTES + 200_000 and up.nbytes + down.nbytes <= 32 << 20
