@@ -4,11 +4,12 @@ import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from check_queries import plan_of
 from crowdread import session
 from crowdread.operators import cleaning, density, topics
-from crowdread.plans import video_report
+from crowdread.plans import incremental, video_report
 from crowdread.session import Temporary, staged
 
 SCHEMA = "video_id string, comment_id long, pos long, parent_id long, is_reply boolean, text string, like_count long"
@@ -70,6 +71,14 @@ def test_full_report_writes_what_it_needs(spark, folder):
     assert sorted(r.video_id for r in report.collect()) == ["a", "b"]
 
 
+def test_incremental_runs_leave_only_their_stores(spark, folder, tmp_path):
+    archive = incremental.Archive(spark, str(tmp_path / "archive"))
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    assert incremental.run(archive, 1, titles(spark), comments(spark), now, model=False)
+    assert left(folder) == []
+    assert archive.store("reports").current().count() == 2
+
+
 def test_texts_are_dealt_once_to_drop_copies(spark):
     plan = plan_of(cleaning.dedup_comments(comments(spark)))
     assert plan.count("Exchange") == 1 and "Partial" in plan.split("WindowGroupLimit", 2)[2].split("\n")[0]
