@@ -71,6 +71,14 @@ def test_full_report_writes_what_it_needs(spark, folder):
     assert sorted(r.video_id for r in report.collect()) == ["a", "b"]
 
 
+def test_bytes_of_the_report_come_from_the_written_table(spark, folder, monkeypatch):
+    """Topics are not worked out once more to learn how many tasks their terms take."""
+    asked, plain = [], topics.text_bytes
+    monkeypatch.setattr(topics, "text_bytes", lambda df, text: asked.append(plan_of(df)) or plain(df, text))
+    video_report.full_report(comments(spark), titles(spark))
+    assert len(asked) == 1 and "Join" not in asked[0] and "MapInArrow" not in asked[0]
+
+
 def test_incremental_runs_leave_only_their_stores(spark, folder, tmp_path):
     archive = incremental.Archive(spark, str(tmp_path / "archive"))
     now = F.lit("2024-01-01").cast("timestamp_ntz")
